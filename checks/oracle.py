@@ -595,7 +595,7 @@ _add("j3_feature_job", f"{FEATURES}, {_split('features', 'applicant_id', 'target
      f"SELECT t.*, split FROM ({TABLE}) t JOIN parts USING (applicant_id)")
 _add("j4_corpus_job", f"{CHUNKS}, {_tokens('t', 'chunks', 'doc_id, ord, part', 'text')}", """
 SELECT doc_id, ord, part, id, section, md5(text) AS digest, coalesce(n_words, 0) AS n_words FROM chunks
-LEFT JOIN (SELECT doc_id, ord, part, sum(n) AS n_words FROM t_counts GROUP BY ALL) USING (doc_id, ord, part)""")
+LEFT JOIN (SELECT doc_id, ord, part, CAST(sum(n) AS BIGINT) AS n_words FROM t_counts GROUP BY ALL) USING (doc_id, ord, part)""")
 _add("j5_profile_job", f"{APPLICANTS}, {_HISTOGRAM}, correlations AS ({_CORR})", f"""
 SELECT 'shape' AS report, 'rows' AS item, CAST(count(*) AS DOUBLE) AS value FROM applicants
 UNION ALL SELECT 'classes', CAST(target AS VARCHAR), round(count(*) / sum(count(*)) OVER () * 100, 2) FROM applicants GROUP BY target

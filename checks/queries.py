@@ -169,7 +169,8 @@ _on_applicants("b9_rate_by_education", lambda df: profile.default_rate(clean.rec
     F.desc("default_rate_pct"), "EDUCATION"))
 _on_applicants("b10_rate_by_status", lambda df: profile.default_rate(df, "PAY_0").orderBy("PAY_0"))
 _on_applicants("b11_correlation", profile.correlation)
-_on_applicants("b12_dataset_summary", lambda df: profile.dataset_summary(df, [*X.BASE_COLUMNS, X.TARGET]))
+_on_applicants("b12_dataset_summary", lambda df: profile.dataset_summary(
+    materialize(df, "applicants"), [*X.BASE_COLUMNS, X.TARGET]))
 
 
 # --- C: cleaning and validation --------------------------------------------------------
@@ -381,7 +382,7 @@ def _(spark, sf_dir):
 
 @query("h9_exact_lookup")
 def _(spark, sf_dir):
-    chunks = materialize(_chunks(spark, sf_dir), "chunks")
+    chunks = jobs.scratch_chunks(inputs.corpus(spark, sf_dir))
     return retrieve.exact_lookup(inputs.questions(spark, sf_dir), chunks).select(
         "question_id", "rank", *S.CHUNK_KEY, "section", F.md5("text").alias("digest"))
 
@@ -400,7 +401,7 @@ def _(spark, sf_dir):
 
 @query("h11_overview")
 def _(spark, sf_dir):
-    chunks = materialize(_chunks(spark, sf_dir), "chunks")
+    chunks = jobs.scratch_chunks(inputs.corpus(spark, sf_dir))
     found = retrieve.answer_overviews(inputs.questions(spark, sf_dir), chunks)
     return found.select("question_id", "answer", F.array_join("sources", "; ").alias("sources"))
 
@@ -447,7 +448,7 @@ def _(spark, sf_dir):
 
 def _underwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = jobs.scratch_store(inputs.corpus(spark, sf_dir))
-    return jobs.underwrite(billing.applicants(spark, sf_dir), store)
+    return jobs.underwrite(materialize(billing.applicants(spark, sf_dir), "applicants"), store)
 
 
 @query("i1_report")
@@ -480,7 +481,7 @@ QUERIES["j1_portfolio_underwriting"] = flagship
 
 @query("j2_streaming_underwriting")
 def _(spark, sf_dir):
-    people = billing.applicants(spark, sf_dir)
+    people = materialize(billing.applicants(spark, sf_dir), "applicants")
     arriving = people.select(
         F.col(X.KEY).alias("request_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("request_ts"),
         X.KEY, *X.BASE_COLUMNS)

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 
-_ENDS = rf"^{X.WHITESPACE}+|{X.WHITESPACE}+$"
-
-
 def strip(text: Column) -> Column:
     """Cut every kind of white space from both ends (SQL trim cuts only blanks)."""
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(X.WHITESPACE_CHARS))
 
 
 def words(text: Column) -> Column:
     """Lower-case words between white space; empty for a blank text."""
-    parts = F.split(F.lower(text), f"{X.WHITESPACE}+")
-    return F.filter(parts, lambda w: w != "")
+    bare = strip(F.lower(text))
+    return F.when(bare != "", F.split(bare, f"{X.WHITESPACE}+")).otherwise(F.array().cast("array<string>"))
 
 
 def blocks(text: Column, size: int) -> Column:

@@ -17,7 +17,9 @@ def sections(documents: DataFrame) -> DataFrame:
         F.split("text", X.HEADING_PATTERN).alias("bodies"),
         F.regexp_extract_all("text", F.lit(X.HEADING_PATTERN), F.lit(0)).alias("headers"),
     )
-    rows = split.select("doc_id", "headers", F.posexplode("bodies").alias("ord", "body"))
+    # The outer form keeps the optimizer from splitting every text a second time
+    # to find out which are empty.
+    rows = split.select("doc_id", "headers", F.posexplode_outer("bodies").alias("ord", "body")).filter("ord IS NOT NULL")
     header = F.when(F.col("ord") > 0, F.get("headers", F.col("ord") - 1))
     return rows.select("doc_id", "ord", header.alias("header"), strip(F.col("body")).alias("body"))
 
@@ -42,7 +44,8 @@ def chunk(documents: DataFrame, size: int = X.CHUNK_SIZE, overlap: int = X.CHUNK
         .when(is_intro, _kept(segments, X.MIN_INTRO_CHARS))
         .otherwise(_kept(segments, X.MIN_PART_CHARS))
     )
-    rows = cut.select("doc_id", "ord", "header", is_short.alias("short"), F.posexplode(kept).alias("at", "segment"))
+    rows = cut.select("doc_id", "ord", "header", is_short.alias("short"), F.posexplode_outer(kept).alias("at", "segment"))
+    rows = rows.filter("at IS NOT NULL")
     intro, at = F.col("ord") == 0, F.col("at")
     part = F.when(intro | F.col("short"), at).otherwise(at + 1)
     base_id = F.translate(F.lower("header"), " -", "__")

@@ -102,31 +102,36 @@ def confusion_matrix(
     ])))
 
 
-def roc_auc(df: DataFrame, score: str = SCORE, label: str = X.TARGET, slices: int = 1000) -> DataFrame:
-    """Area under the ROC curve; ties count half.
+def _ranked_scores(df: DataFrame, score: str, label: str, slices: int = 1000) -> DataFrame:
+    """(score, pos, neg, neg_below): class counts per distinct score and the negatives below it.
 
     Rows are grouped by score first. Distinct scores are then ranked within
     slices of the score range, so that no single task sees all of them.
     """
     by_score = df.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).cast("decimal(38,0)").alias("pos"),
-        F.count_if(F.col(label) == 0).cast("decimal(38,0)").alias("neg"),
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
     ).withColumn("slice", F.floor(F.col("score") * slices))
     lower_slices = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     per_slice = by_score.groupBy("slice").agg(F.sum("neg").alias("slice_neg"))  # at most slices + 1 rows
     offsets = per_slice.select("slice", F.coalesce(F.sum("slice_neg").over(lower_slices), F.lit(0)).alias("offset"))
     lower = Window.partitionBy("slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("inner", F.coalesce(F.sum("neg").over(lower), F.lit(0))).join(F.broadcast(offsets), "slice")
+    ranked = by_score.withColumn("inner", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
+    return ranked.join(F.broadcast(offsets), "slice").select(
+        "score", "pos", "neg", (F.col("offset") + F.col("inner")).alias("neg_below"))
+
+
+def _auc() -> Column:
+    """Aggregate over ranked scores; ties count half."""
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    neg_below = (F.col("offset") + F.col("inner")).cast("double")
-    # Half units are whole numbers, so the sum is exact.
-    doubled = (pos * (2 * neg_below + neg)).cast("decimal(38,0)")
-    totals = ranked.agg(
-        F.sum(doubled).cast("double").alias("doubled"), F.sum("pos").cast("double").alias("p"),
-        F.sum("neg").cast("double").alias("n"),
-    )
-    return totals.select(
-        F.round(F.try_divide(F.col("doubled"), 2 * F.col("p") * F.col("n")), 6).alias("roc_auc"))
+    # In half units every term is a whole number, so the sum is exact.
+    doubled = (pos * (2 * F.col("neg_below").cast("double") + neg)).cast("decimal(38,0)")
+    pairs = 2 * F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return F.round(F.try_divide(F.sum(doubled).cast("double"), pairs), 6)
+
+
+def roc_auc(df: DataFrame, score: str = SCORE, label: str = X.TARGET) -> DataFrame:
+    """Area under the ROC curve."""
+    return _ranked_scores(df, score, label).agg(_auc().alias("roc_auc"))
 
 
 def naive_baseline(df: DataFrame, label: str = X.TARGET) -> DataFrame:
@@ -138,10 +143,17 @@ def naive_baseline(df: DataFrame, label: str = X.TARGET) -> DataFrame:
 def classification_metrics(
     df: DataFrame, threshold: float = X.DEFAULT_THRESHOLD, score: str = SCORE, label: str = X.TARGET
 ) -> DataFrame:
-    """One record: accuracy, precision, recall, F1, AUC and the naive baseline."""
-    quality = threshold_sweep(df, [threshold], score, label).select("accuracy", "precision", "recall", "f1_score")
-    # Three one-row tables.
-    return quality.withColumns({
-        "roc_auc": roc_auc(df, score, label).scalar(),
-        "naive_baseline": naive_baseline(df, label).scalar(),
-    })
+    """One record: accuracy, precision, recall, F1, AUC and the naive baseline, in one pass."""
+    passed = F.col("score") >= F.lit(float(threshold))
+
+    def total(kind: str, reached: Column) -> Column:
+        return F.coalesce(F.sum(F.when(reached, F.col(kind))), F.lit(0))
+
+    cells = {"tp": total("pos", passed), "fp": total("neg", passed),
+             "fn": total("pos", ~passed), "tn": total("neg", ~passed)}
+    one_row = _ranked_scores(df, score, label).agg(
+        *[cell.alias(name) for name, cell in cells.items()], _auc().alias("roc_auc"))
+    tp, fp, fn, tn = (F.col(name) for name in cells)
+    quality = {name: value.alias(name) for name, value in _quality(tp, fp, fn, tn).items()}
+    naive = F.round(ratio(F.greatest(tp + fn, fp + tn), tp + fp + fn + tn), 6)
+    return one_row.select(*quality.values(), "roc_auc", naive.alias("naive_baseline"))

@@ -119,13 +119,11 @@ def base_value(leaves: list[Leaf]) -> float:
 def tree_contributions(df: DataFrame, leaves: list[Leaf], digits: int = 6) -> DataFrame:
     """Adds `base_value` and `contributions`; they sum to the log-odds of the score."""
     bias = base_value(leaves)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def impacts(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in values:
             matrix = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            result = contributions_of(matrix, shared.value)
+            result = contributions_of(matrix, leaves)
             offsets = np.arange(0, result.size + 1, matrix.shape[1], dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(result.reshape(-1)))
 

@@ -53,3 +53,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few input files but many cores: deal the rows out. Large inputs stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= wanted else df.repartition(wanted, *keys)
