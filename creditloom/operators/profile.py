@@ -133,15 +133,20 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (
     def high(c: str, i: int) -> Column:
         return F.col(f"bracket.{c}")[2 * i + 1]
 
-    one_row = bracketed.agg(
-        *[F.count(c).alias(f"{c}_n") for c in columns],
-        *[F.count_if(F.col(c) < low(c, i)).alias(f"{c}_{i}") for c, i in keys],
-    )
+    # The neighbours of a bracket count too: with few rows a rank may fall just beside it.
+    one_row = bracketed.agg(*[F.count(c).alias(f"{c}_n") for c in columns], *[
+        F.struct(
+            F.count_if(F.col(c) < low(c, i)).alias("below"),
+            F.max(F.when(F.col(c) < low(c, i), F.col(c))).alias("previous"),
+            F.min(F.when(F.col(c) > high(c, i), F.col(c))).alias("next"),
+        ).alias(f"{c}_{i}")
+        for c, i in keys
+    ])
     below = one_row.select(_rows([
         F.struct(F.lit(c).alias("column_name"), F.lit(float(shares[i])).alias("share"),
-                 F.col(f"{c}_n").alias("n"), F.col(f"{c}_{i}").alias("below"))
+                 F.col(f"{c}_n").alias("n"), F.col(f"{c}_{i}").alias("outside"))
         for c, i in keys
-    ]))
+    ])).select("column_name", "share", "n", "outside.*")
     inside = bracketed.select(F.inline(F.array_compact(F.array(*[
         F.when(F.col(c).between(low(c, i), high(c, i)),
                F.struct(F.lit(c).alias("column_name"), F.lit(float(shares[i])).alias("share"), F.col(c).alias("value")))
@@ -157,11 +162,21 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (
         "at": F.col("share") * (F.col("n") - 1),  # zero-based position
     })
 
-    def value_at(position: Column) -> Column:
+    def inside_at(position: Column) -> Column:
         return F.max(F.when(position.between(F.col("first"), F.col("last")), F.col("value")))
 
-    found = ranked.groupBy("column_name", "share", "n", "at").agg(
-        value_at(F.floor("at")).alias("lower"), value_at(F.ceil("at")).alias("upper"))
+    found = ranked.groupBy("column_name", "share", "n", "at", "below", "previous", "next").agg(
+        inside_at(F.floor("at")).alias("lower"), inside_at(F.ceil("at")).alias("upper"),
+        (F.col("below") + F.coalesce(F.sum("rows"), F.lit(0))).alias("above_at"),
+    )
+
+    def value_at(inside: str, position: Column) -> Column:
+        return F.coalesce(
+            inside, F.when(position == F.col("below") - 1, F.col("previous")),
+            F.when(position == F.col("above_at"), F.col("next")))
+
+    found = found.withColumns({
+        "lower": value_at("lower", F.floor("at")), "upper": value_at("upper", F.ceil("at"))})
     missed = (F.col("n") > 0) & (F.col("lower").isNull() | F.col("upper").isNull())
     value = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("at") - F.floor("at"))
     return found.select(
