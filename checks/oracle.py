@@ -460,6 +460,9 @@ _add("e1_stratified_split", _SPLIT, "SELECT applicant_id, target, split FROM par
 _add("e1_label_split", _split("labels", "doc_id", "quality"), "SELECT doc_id, quality, split FROM parts")
 _add("e2_split_report", _SPLIT, "SELECT split, count(*) AS n, round(sum(target) / count(*) * 100, 1) AS default_pct FROM parts GROUP BY split")
 _add("e3_stratified_folds", _SPLIT, "SELECT applicant_id, target, fold FROM parts")
+_add("f3_fold_coverage", _SPLIT.replace("% 5 AS INT", "% 2 AS INT"), "SELECT applicant_id, target, fold FROM parts")
+_add("f11_bundle_round_trip", APPLICANTS, "SELECT count(*) AS n_applicants, 0 AS n_different, 0.55e0 AS threshold FROM applicants")
+_add("g1_contributions_add_up", APPLICANTS, "SELECT count(*) AS n_applicants, 0 AS n_off FROM applicants")
 _add("e4_class_weight", APPLICANTS, """SELECT count(*) FILTER (target = 0) AS negatives, count(*) FILTER (target = 1) AS positives,
   round(count(*) FILTER (target = 0) / count(*) FILTER (target = 1), 6) AS scale_pos_weight FROM applicants""")
 

@@ -46,7 +46,9 @@ def _on_scores(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def _on_contributions(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: fn(explain.linear_contributions(inputs.scored(spark, sf_dir)))
+    # The means are a pass of their own, so the scores are written once.
+    QUERIES[name] = lambda spark, sf_dir: fn(explain.linear_contributions(
+        materialize(inputs.scored(spark, sf_dir), "scored")))
 
 
 # --- A: sources and sinks ---------------------------------------------------------
@@ -277,6 +279,28 @@ def _(spark, sf_dir):
     return model.predict(loaded, table, threshold).select(X.KEY, "risk_probability", "risk_decision")
 
 
+@query("f3_fold_coverage")
+def _(spark, sf_dir):
+    """Which row was scored in which fold: each exactly once."""
+    scored = model.out_of_fold(_training_table(spark, sf_dir), k=2, maxIter=1, maxDepth=2)
+    return scored.filter(F.col("risk_probability").between(0, 1)).select(X.KEY, X.TARGET, "fold")
+
+
+@query("f11_bundle_round_trip")
+def _(spark, sf_dir):
+    """A saved and loaded model scores like the one in memory; the new threshold is in force."""
+    table, path = _training_table(spark, sf_dir), scratch_path(spark, "bundle")
+    fitted = model.train(table, maxIter=2, maxDepth=3)
+    model.save_bundle(fitted, X.FALLBACK_THRESHOLD, path)
+    model.set_threshold(spark, X.DEFAULT_THRESHOLD, path)
+    loaded, threshold = model.load_bundle(spark, path)
+    before = model.predict(fitted, table).select(X.KEY, F.col("risk_probability").alias("before"))
+    after = model.predict(loaded, table, threshold).select(X.KEY, F.col("risk_probability").alias("after"))
+    return before.join(after, X.KEY).agg(
+        F.count(F.lit(1)).alias("n_applicants"), F.count_if(F.col("before") != F.col("after")).alias("n_different"),
+    ).withColumn("threshold", F.lit(threshold))
+
+
 # --- G: attribution ----------------------------------------------------------------------------------
 
 def _tree_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +314,17 @@ def _(spark, sf_dir):
     return _tree_explained(spark, sf_dir).select(X.KEY, "risk_probability", "base_value", F.inline("contributions"))
 
 
+@query("g1_contributions_add_up")
+def _(spark, sf_dir):
+    """Base value plus contributions are the log-odds of every score."""
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["impact"])
+    implied = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    return _tree_explained(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_applicants"),
+        F.count_if(F.abs(implied - F.col("risk_probability")) > 1e-4).alias("n_off"),
+    )
+
+
 _on_contributions("g2_linear_contributions", explain.contribution_rows)
 
 
@@ -356,7 +391,7 @@ def _(spark, sf_dir):
     texts = readers.load(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), "text")
     both = vectors.vectors_for(given, vector="embedding").select("key", "vector").unionByName(
         vectors.vectors_for(texts).select("key", "vector"))
-    return both.select("key", F.posexplode("vector").alias("dim", "v")).filter("v <> 0").select(
+    return both.select("key", F.posexplode_outer("vector").alias("dim", "v")).filter("v <> 0").select(
         "key", "dim", F.round(F.col("v").cast("double"), 5).alias("weight"))
 
 
@@ -383,7 +418,7 @@ def _(spark, sf_dir):
 @query("h9_exact_lookup")
 def _(spark, sf_dir):
     chunks = jobs.scratch_chunks(inputs.corpus(spark, sf_dir))
-    return retrieve.exact_lookup(inputs.questions(spark, sf_dir), chunks).select(
+    return retrieve.exact_lookup(inputs.questions(spark, sf_dir), retrieve.regulation_parts(chunks)).select(
         "question_id", "rank", *S.CHUNK_KEY, "section", F.md5("text").alias("digest"))
 
 

@@ -20,7 +20,7 @@ def row_sum(columns: Sequence[str]) -> Column:
 
 
 def exact_mean(value: Column) -> Column:
-    return F.sum(value.cast(EXACT)).cast("double") / F.count(value)
+    return F.try_divide(F.sum(value.cast(EXACT)).cast("double"), F.count(value))
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

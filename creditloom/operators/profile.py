@@ -9,13 +9,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed as X
-from ..functions.numbers import exact_mean, percent
+from ..functions.numbers import EXACT, percent
+from ..session import broadcast_checked
+from .split import MAX_CLASSES
 
 
 def _rows(structs: Sequence[Column]) -> Column:
     return F.inline(F.array(*structs))
 
 
+# Reports over many columns are written as SQL expressions: a few hundred of them
+# are one call, not a few thousand.
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _inline(structs: Sequence[str]) -> str:
+    return f"inline(array({', '.join(structs)}))"
+
+
 def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
@@ -55,23 +72,25 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
     """count, mean, standard deviation, min and max for all columns in one pass."""
-    one_row = df.agg(*[
-        F.struct(
-            F.count(c).alias("n"),
-            F.round(exact_mean(F.col(c)), digits).alias("mean"),
-            F.round(F.stddev_samp(c), digits).alias("stddev"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
-        ).alias(c)
-        for c in columns
+    one_row = df.selectExpr(*[
+        f"""struct(
+            count({c}) AS n,
+            round(CAST(sum(CAST({c} AS {EXACT})) AS DOUBLE) / nullif(count({c}), 0), {digits}) AS mean,
+            round(stddev_samp({c}), {digits}) AS stddev,
+            CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max) AS {c}"""
+        for c in map(_name, columns)
     ])
-    return one_row.select(_rows([F.struct(F.lit(c).alias("column_name"), f"{c}.*") for c in columns]))
+    return one_row.selectExpr(_inline([
+        f"struct({_text(c)} AS column_name, {_name(c)}.n, {_name(c)}.mean, {_name(c)}.stddev, {_name(c)}.min, {_name(c)}.max)"
+        for c in columns
+    ]))
 
 
 def class_histogram(df: DataFrame, value: str = "LIMIT_BAL", label: str = X.TARGET, bins: int = 50) -> DataFrame:
     """Equal bins per class over that class's own range; the last bin is closed.
 
-    Empty bins are kept. The range table has one row per class.
+    Empty bins are kept. The range table has one row per class and is broadcast:
+    a shuffle by class would send everything to two tasks.
     """
     low, high = F.min(value), F.max(value)
     spread = low == high
@@ -79,7 +98,7 @@ def class_histogram(df: DataFrame, value: str = "LIMIT_BAL", label: str = X.TARG
         F.when(spread, low - 0.5).otherwise(low).alias("low"),
         F.when(spread, high + 0.5).otherwise(high).alias("high"),
     ).withColumn("width", (F.col("high") - F.col("low")) / bins)
-    placed = df.select(label, value).join(ranges, label).select(
+    placed = df.select(label, value).join(broadcast_checked(ranges, MAX_CLASSES), label).select(
         label, F.least(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.lit(bins - 1)).alias("bin")
     )
     counted = placed.groupBy(label, "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -99,17 +118,19 @@ def default_rate(df: DataFrame, by: str, label: str = X.TARGET) -> DataFrame:
 def correlation(df: DataFrame, columns: Sequence[str] = X.CORRELATION_COLUMNS, digits: int = 6) -> DataFrame:
     """Pearson matrix of the columns that exist, pairwise complete, in one aggregate."""
     present = [c for c in columns if c in df.columns]
-    pairs = list(combinations(present, 2))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in present])
-    one_row = numbers.agg(*[F.round(F.corr(a, b), digits).alias(f"{a}~{b}") for a, b in pairs])
+    pairs = list(combinations(range(len(present)), 2))
+    one_row = df.selectExpr(*[
+        f"round(corr(CAST({_name(present[i])} AS DOUBLE), CAST({_name(present[j])} AS DOUBLE)), {digits}) AS r{i}_{j}"
+        for i, j in pairs
+    ])
 
-    def cell(a: str, b: str, value: Column) -> Column:
-        return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), value.alias("corr"))
+    def cell(i: int, j: int, value: str) -> str:
+        return f"struct({_text(present[i])} AS col_a, {_text(present[j])} AS col_b, {value} AS corr)"
 
-    cells = [cell(c, c, F.lit(1.0)) for c in present]
-    for a, b in pairs:
-        cells += [cell(a, b, F.col(f"{a}~{b}")), cell(b, a, F.col(f"{a}~{b}"))]
-    return one_row.select(_rows(cells))
+    cells = [cell(i, i, "1.0D") for i in range(len(present))]
+    for i, j in pairs:
+        cells += [cell(i, j, f"r{i}_{j}"), cell(j, i, f"r{i}_{j}")]
+    return one_row.selectExpr(_inline(cells))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -121,37 +142,36 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (
     exact or absent.
     """
     margin, accuracy = 0.002, 10_000
-    keys = [(c, i) for c in columns for i in range(len(shares))]
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    probes = [max(0.0, min(1.0, p + d)) for p in shares for d in (-margin, margin)]
-    sketch = numbers.agg(*[F.percentile_approx(c, probes, accuracy).alias(c) for c in columns])
+    probes = ", ".join(f"{max(0.0, min(1.0, p + d))}D" for p in shares for d in (-margin, margin))
+    # (column, share, suffix of its result columns, bracket ends)
+    keys = [
+        (c, share, f"{at}_{i}", f"bracket.{c}[{2 * i}]", f"bracket.{c}[{2 * i + 1}]")
+        for at, c in enumerate(map(_name, columns)) for i, share in enumerate(shares)
+    ]
+    titles = {_name(c): _text(c) for c in columns}
+    numbers = df.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in titles])
+    sketch = numbers.selectExpr(*[f"percentile_approx({c}, array({probes}), {accuracy}) AS {c}" for c in titles])
     bracketed = numbers.withColumn("bracket", sketch.select(F.struct("*")).scalar())
 
-    def low(c: str, i: int) -> Column:
-        return F.col(f"bracket.{c}")[2 * i]
-
-    def high(c: str, i: int) -> Column:
-        return F.col(f"bracket.{c}")[2 * i + 1]
-
     # The neighbours of a bracket count too: with few rows a rank may fall just beside it.
-    one_row = bracketed.agg(*[F.count(c).alias(f"{c}_n") for c in columns], *[
-        F.struct(
-            F.count_if(F.col(c) < low(c, i)).alias("below"),
-            F.max(F.when(F.col(c) < low(c, i), F.col(c))).alias("previous"),
-            F.min(F.when(F.col(c) > high(c, i), F.col(c))).alias("next"),
-        ).alias(f"{c}_{i}")
-        for c, i in keys
+    one_row = bracketed.selectExpr(*[
+        f"""struct(count({c}) AS n, count_if({c} < {low}) AS below,
+            max(CASE WHEN {c} < {low} THEN {c} END) AS previous,
+            min(CASE WHEN {c} > {high} THEN {c} END) AS next) AS k{key}"""
+        for c, _, key, low, high in keys
     ])
-    below = one_row.select(_rows([
-        F.struct(F.lit(c).alias("column_name"), F.lit(float(shares[i])).alias("share"),
-                 F.col(f"{c}_n").alias("n"), F.col(f"{c}_{i}").alias("outside"))
-        for c, i in keys
-    ])).select("column_name", "share", "n", "outside.*")
-    inside = bracketed.select(F.inline(F.array_compact(F.array(*[
-        F.when(F.col(c).between(low(c, i), high(c, i)),
-               F.struct(F.lit(c).alias("column_name"), F.lit(float(shares[i])).alias("share"), F.col(c).alias("value")))
-        for c, i in keys
-    ])))).groupBy("column_name", "share", "value").agg(F.count(F.lit(1)).alias("rows"))
+    below = one_row.selectExpr(_inline([
+        f"struct({titles[c]} AS column_name, {share}D AS share, k{key}.n, k{key}.below, k{key}.previous, k{key}.next)"
+        for c, share, key, _, _ in keys
+    ]))
+    hits = ", ".join(
+        f"CASE WHEN {c} BETWEEN {low} AND {high} THEN struct({titles[c]} AS column_name, {share}D AS share, {c} AS value) END"
+        for c, share, _, low, high in keys
+    )
+    inside = (
+        bracketed.selectExpr(f"inline_outer(array_compact(array({hits})))").filter("column_name IS NOT NULL")
+        .groupBy("column_name", "share", "value").agg(F.count(F.lit(1)).alias("rows"))
+    )
 
     in_order = Window.partitionBy("column_name", "share").orderBy("value")
     last = F.sum("rows").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1

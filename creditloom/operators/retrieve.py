@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed as X
 from .. import schemas as S
 from ..functions.text import strip
+from ..session import materialize
 from .nearest import nearest
 from .vectors import with_counts
 
@@ -36,16 +37,16 @@ def regulation_parts(chunks: DataFrame) -> DataFrame:
     One section per regulation: the size of an answer does not grow with the
     number of documents that contain a heading.
     """
-    titled = chunks.withColumns(section_regulation(F.col("section"))).filter(F.col("number").isNotNull())
-    first = titled.groupBy("letter", "number").agg(F.min(F.struct("doc_id", "ord")).alias("first"))
+    named = chunks.select("doc_id", "ord", *[c.alias(n) for n, c in section_regulation(F.col("section")).items()])
+    first = named.filter("number IS NOT NULL").groupBy("letter", "number").agg(F.min(F.struct("doc_id", "ord")).alias("first"))
     at = first.select("letter", "number", F.col("first.doc_id").alias("doc_id"), F.col("first.ord").alias("ord"))
-    return titled.join(at, ["letter", "number", "doc_id", "ord"])
+    return chunks.select(*S.CHUNK_KEY, "section", "text").join(at, ["doc_id", "ord"])
 
 
-def exact_lookup(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question_id, rank, chunk) for questions that name a regulation of the store."""
+def exact_lookup(questions: DataFrame, parts: DataFrame) -> DataFrame:
+    """(question_id, rank, chunk) for questions that name a regulation; `parts` as by regulation_parts."""
     asked = questions.withColumns(requested_regulation(F.col("question"))).filter(F.col("number").isNotNull())
-    return asked.select(QUESTION, "letter", "number").join(regulation_parts(chunks), ["letter", "number"]).select(
+    return asked.select(QUESTION, "letter", "number").join(parts, ["letter", "number"]).select(
         QUESTION, F.greatest(F.col("part"), F.lit(1)).alias("rank"), *S.CHUNK_KEY, "section", "text",
         F.lit(0.0).alias("distance"), F.lit(ROUTE_EXACT).alias("route"),
     )
@@ -64,11 +65,11 @@ def nearest_chunks(questions: DataFrame, store: DataFrame, k: int = X.TOP_K) ->
 
 def hybrid(questions: DataFrame, store: DataFrame, k: int = X.TOP_K) -> DataFrame:
     """Exact where a named regulation is in the store, nearest for all other questions."""
+    parts = materialize(regulation_parts(store), "regulations")  # one section per regulation
     requested = questions.withColumns(requested_regulation(F.col("question")))
-    known = regulation_parts(store).select("letter", "number").distinct()
-    others = requested.join(known, ["letter", "number"], "left_anti")
+    others = requested.join(parts, ["letter", "number"], "left_anti")
     near = attach_chunks(nearest_chunks(others, store, k), store)
-    return exact_lookup(questions, store).unionByName(near)
+    return exact_lookup(questions, parts).unionByName(near)
 
 
 def title_match(questions: DataFrame, chunks: DataFrame) -> DataFrame:

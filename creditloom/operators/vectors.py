@@ -71,7 +71,8 @@ def with_counts(df: DataFrame, text: str = "text", name: str = "counts") -> Data
 def weights(df: DataFrame, keys: list[str], counts: str = "counts") -> DataFrame:
     """Sparse form of the unit vectors: (keys, bucket, n, weight), zeros left out."""
     squares = F.aggregate(counts, F.lit(0).cast("long"), lambda acc, c: acc + c.cast("long") * c)
-    rows = df.withColumn("squares", squares).select(*keys, "squares", F.posexplode(counts).alias("bucket", "n"))
+    # The inner form would be guarded by a filter that computes the vectors once more.
+    rows = df.withColumn("squares", squares).select(*keys, "squares", F.posexplode_outer(counts).alias("bucket", "n"))
     return rows.filter("n > 0").select(
         *keys, "bucket", "n", F.round(F.col("n") / F.sqrt(F.col("squares").cast("double")), 6).alias("weight"))
 

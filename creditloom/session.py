@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Skewed joins (one question, regulation or chunk holding a large share of the
 # rows) are split at run time; partition counts follow the data.
@@ -15,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here are built from many column expressions; recording the Python
+    # call site of each one takes longer than planning them.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
@@ -55,6 +59,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_checked(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast a table of at most `most` rows; a larger one is an error, not a memory problem."""
+    counted = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    refusal = F.raise_error(F.lit(f"more than {most} rows to broadcast")).cast("boolean")
+    return F.broadcast(counted.filter(F.when(F.col("_rows") <= most, True).otherwise(refusal)).drop("_rows"))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Few input files but many cores: deal the rows out. Large inputs stay as they are."""
     wanted = df.sparkSession.sparkContext.defaultParallelism

@@ -36,7 +36,8 @@ def test_requested_regulation(spark):
 
 
 def test_exact_lookup_takes_all_parts_of_the_first_section(spark, store):
-    rows = retrieve.exact_lookup(ask(spark, "R-1", "R-10", "R-5"), store).orderBy("question_id", "rank").collect()
+    parts = retrieve.regulation_parts(store)
+    rows = retrieve.exact_lookup(ask(spark, "R-1", "R-10", "R-5"), parts).orderBy("question_id", "rank").collect()
     assert [(r["question_id"], r["rank"], r["doc_id"], r["section"]) for r in rows] == [
         ("0", 1, 1, "REGULATION R-1"),
         ("1", 1, 1, "REGULATION R-10 (Part 1)"), ("1", 2, 1, "REGULATION R-10 (Part 2)"),
@@ -59,7 +60,7 @@ def test_title_match(spark, store):
 
 
 def test_answers_are_ordered_and_sources_unique(spark, store):
-    row = retrieve.answers(retrieve.exact_lookup(ask(spark, "r10"), store)).first()
+    row = retrieve.answers(retrieve.exact_lookup(ask(spark, "r10"), retrieve.regulation_parts(store))).first()
     assert row["sources"] == ["REGULATION R-10 (Part 1)", "REGULATION R-10 (Part 2)"]
     assert row["context"].startswith("[REGULATION R-10 (Part 1)]\nREGULATION R-10\nword")
     assert "\n\n[REGULATION R-10 (Part 2)]\n" in row["context"]
