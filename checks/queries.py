@@ -216,8 +216,10 @@ def _(spark, sf_dir):
 
 # --- E: splits and balance -------------------------------------------------------------------
 
-_on_applicants("e1_stratified_split", lambda df: split.stratified_split(df.select(X.KEY, X.TARGET)))
-_on_applicants("e2_split_report", lambda df: split.split_report(split.stratified_split(df.select(X.KEY, X.TARGET))))
+_on_applicants("e1_stratified_split", lambda df: split.stratified_split(
+    materialize(df.select(X.KEY, X.TARGET), "labels")))
+_on_applicants("e2_split_report", lambda df: split.split_report(split.stratified_split(
+    materialize(df.select(X.KEY, X.TARGET), "labels"))))
 _on_applicants("e3_stratified_folds", lambda df: split.stratified_folds(df.select(X.KEY, X.TARGET)))
 _on_applicants("e4_class_weight", split.class_weight)
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed as X
-from .. import schemas as S
 from ..functions.numbers import exact_mean
 from ..functions.text import display_name
 from .score import DELAY_SCORECARD, Scorecard
@@ -43,7 +42,7 @@ def linear_contributions(
         F.struct(F.lit(c).alias("feature"), impact(c).alias("impact"), F.col(c).cast("double").alias("value"))
         for c in card.features
     ]
-    return df.withColumn("contributions", F.array(*entries).cast(S.FACTORS)).drop("_means")
+    return df.withColumn("contributions", F.array(*entries)).drop("_means")
 
 
 def top_factors(contributions: Column, k: int = X.TOP_SERVING) -> Column:
