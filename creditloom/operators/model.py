@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed as X
+from ..session import materialize
 from .score import decision
 from .split import class_weight, stratified_folds
 
@@ -65,7 +66,8 @@ def search(
     df: DataFrame, n: int = X.TRIALS, k: int = X.FOLDS, seed: int = X.SEED, parallelism: int = 4, **ranges
 ) -> tuple[CrossValidatorModel, list[dict]]:
     """Mean AUC over k stratified folds for every random parameter map; keeps the best."""
-    folded = assembler().transform(stratified_folds(with_class_weight(df), k=k, seed=seed))
+    # Boosting reads its input for every tree: write it once.
+    folded = materialize(assembler().transform(stratified_folds(with_class_weight(df), k=k, seed=seed)), "folds")
     gbt = classifier()
     trials = random_trials(gbt, n, seed, **ranges)
     validator = CrossValidator(
@@ -93,7 +95,7 @@ def predict(model: PipelineModel, df: DataFrame, threshold: float = X.DEFAULT_TH
 
 def out_of_fold(df: DataFrame, k: int = X.FOLDS, seed: int = X.SEED, **params) -> DataFrame:
     """Every row scored by the model that did not see its fold."""
-    folded = stratified_folds(df, k=k, seed=seed)
+    folded = materialize(stratified_folds(df, k=k, seed=seed), "folds")
     parts = []
     for fold in range(k):
         model = train(folded.filter(F.col(FOLD) != fold), **params)

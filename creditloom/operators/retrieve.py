@@ -63,9 +63,14 @@ def nearest_chunks(questions: DataFrame, store: DataFrame, k: int = X.TOP_K) ->
     return nearest(asked, store, k, question_key=QUESTION, store_key=S.CHUNK_KEY)
 
 
-def hybrid(questions: DataFrame, store: DataFrame, k: int = X.TOP_K) -> DataFrame:
+def regulation_table(chunks: DataFrame) -> DataFrame:
+    """regulation_parts, written once: one section per regulation."""
+    return materialize(regulation_parts(chunks), "regulations")
+
+
+def hybrid(questions: DataFrame, store: DataFrame, k: int = X.TOP_K, parts: DataFrame | None = None) -> DataFrame:
     """Exact where a named regulation is in the store, nearest for all other questions."""
-    parts = materialize(regulation_parts(store), "regulations")  # one section per regulation
+    parts = regulation_table(store) if parts is None else parts
     requested = questions.withColumns(requested_regulation(F.col("question")))
     others = requested.join(parts, ["letter", "number"], "left_anti")
     near = attach_chunks(nearest_chunks(others, store, k), store)

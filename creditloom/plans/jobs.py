@@ -108,11 +108,13 @@ def assess(
     })
 
 
-def answer_questions(questions: DataFrame, store: DataFrame, k: int = X.TOP_K) -> DataFrame:
+def answer_questions(
+    questions: DataFrame, store: DataFrame, k: int = X.TOP_K, parts: DataFrame | None = None
+) -> DataFrame:
     """(question_id, answer, sources): overview first, then exact, then nearest."""
     overview = retrieve.answer_overviews(questions, store)
     specific = questions.filter(~retrieve.is_overview(F.col("question")))
-    found = retrieve.answers(retrieve.hybrid(specific, store, k)).withColumnRenamed("context", "answer")
+    found = retrieve.answers(retrieve.hybrid(specific, store, k, parts)).withColumnRenamed("context", "answer")
     return overview.unionByName(found)
 
 
@@ -140,16 +142,17 @@ def attach_answers(asked: DataFrame, answers: DataFrame) -> DataFrame:
 
 def underwrite(
     applicants: DataFrame, store: DataFrame, card: Scorecard = DELAY_SCORECARD, k: int = X.TOP_K,
-    means: Mapping[str, float] | None = None, given: Column | None = None,
+    means: Mapping[str, float] | None = None, given: Column | None = None, parts: DataFrame | None = None,
 ) -> DataFrame:
     """A decision, its reasons, the regulation it rests on and the report, for every applicant.
 
-    Equal questions are answered once.
+    Equal questions are answered once. `parts` is the regulation table of the
+    store, for callers that come back with more applicants.
     """
     asked = assess(applicants, card, means, given)
     text = F.col("compliance_question")
     questions = asked.select(text.alias("question_id"), text.alias("question")).distinct()
-    answers = materialize(answer_questions(materialize(questions, "questions"), store, k), "answers")
+    answers = materialize(answer_questions(materialize(questions, "questions"), store, k, parts), "answers")
     answered = attach_answers(asked, answers)
     parts = [F.col(c) for c in ("risk_decision", "risk_probability", "top_risk_factors", "compliance_answer")]
     return answered.withColumns({

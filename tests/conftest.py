@@ -12,12 +12,11 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = build_session(
         "creditloom-tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
-           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
+           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
