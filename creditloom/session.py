@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,23 +35,40 @@ def build_session(name: str = "creditloom", master: str | None = None, **extra:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as named by the cluster.
+    """The folder all executors see, as named by the cluster in spark.checkpoint.dir.
 
-    Only a session without one (a local test) gets a folder of this machine.
+    Only a session of one process (a local test) may go without: it gets a
+    folder of its own, which is removed when Python ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="creditloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Where all intermediate data of this application lies."""
+    return f"{shared_dir(spark)}/creditloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/creditloom/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Delete one scratch path, or all that this application has written, once nothing reads it any more."""
+    root = scratch_root(spark)
+    target = path or root
+    if not (target == root or target.startswith(f"{root}/")):
+        raise ValueError(f"not a scratch path: {target}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
