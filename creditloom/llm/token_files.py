@@ -18,17 +18,20 @@ system Spark can reach and a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .parts import PartCache
 
 MAGIC = b"IDPACK01"
 HEAD = "<8sIIQQ"
@@ -36,7 +39,16 @@ BLOCK = 1 << 13
 SEGMENT_IDS = 1 << 19  # a segment is closed at the first document that reaches it
 SEGMENTS_PER_FILE = 16
 SEPARATOR = "\n"
-JOINED_CHARS = 1 << 16
+TASK_BYTES = 48 << 20  # of text for a task; more texts in a task share more of their parts
+
+#: Fixed value: what a byte-level tokenizer cuts a text into before it merges.
+PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+COMMON = "\u0500"  # below it, the pattern and the library agree on every character's class
+TAIL = ".,;:!?"  # marks a word may end with; a run of them is a pre-token
+SLICE_CHARS = 1 << 20  # texts looked at together
+JOINED = 4096  # pre-tokens encoded in one call
+PARTS_HELD, PIECES_HELD = 250_000, 700_000
+LOOSE = b"loose"  # no multiple of four bytes, so no ids
 
 
 # --- Packing ------------------------------------------------------------------------
@@ -118,52 +130,96 @@ def segments(data: bytes) -> Iterator[Segment]:
 # --- Encoding -------------------------------------------------------------------------
 
 class Encoder:
-    """Ids by the tokenizers library; parts of a text that come again are encoded once.
-
-    Many short strings are encoded as one text with a special token between
-    them, which is cheaper than a call's result for each.
+    """Ids by the tokenizers library; what comes again in a task is encoded once.
+
+    A byte-level tokenizer starts a new token at every single space between two
+    characters that are not white space, and merges only inside pre-tokens. So a
+    text is its first part and then " part" for each of the others; a part is its
+    pre-tokens; and only pre-tokens that are new go to the library, many at a
+    time with a special token between them. Texts, parts and tokenizers that
+    don't fit this go to the library as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        special = [(token.content, at) for at, token in self.library.get_added_tokens_decoder().items()
-                   if token.special and not (token.lstrip or token.rstrip or token.single_word)]
-        self.between, self.between_id = special[0] if special else (None, None)
-        self.parts = PartCache(self._encode)
-
-    def _encode(self, strings: Sequence[str]) -> list[bytes]:
-        found: list[bytes] = []
-        batch: list[str] = []
-        chars = 0
-        for string in strings:
-            if self.between is None or self.between in string or len(string) >= JOINED_CHARS:
-                found += [*self._joined(batch), self._ids([string])[0].tobytes()]
-                batch, chars = [], 0
-                continue
-            batch.append(string)
-            chars += len(string)
-            if chars >= JOINED_CHARS:
-                found += self._joined(batch)
-                batch, chars = [], 0
-        return found + self._joined(batch)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, strings: list[str]) -> list[bytes]:
-        if not strings:
-            return []
-        ids = self._ids([self.between.join(strings)])[0]
-        cuts = [-1, *np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
-        data = ids.tobytes()
-        return [data[4 * (a + 1):4 * b] for a, b in zip(cuts, cuts[1:])]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        self.library, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        added, first = described["added_tokens"], described.get("pre_tokenizer") or {}
+        self.between, self.between_id = (added[0]["content"], added[0]["id"]) if added else ("", None)
+        self.special = [token["content"] for token in added]
+        self.cuts = (
+            bool(added) and described.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex")
+            and not first.get("add_prefix_space")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] or " " in t["content"] for t in added))
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str], end_id: int) -> Iterator[np.ndarray]:
-        end = np.array([end_id], "<u4").tobytes()
-        for found in self.parts.results(texts):
-            yield np.frombuffer(b"".join(found) + end, "<u4")
+        end, start = np.array([end_id], "<u4").tobytes(), 0
+        while start < len(texts):
+            stop, chars = start, 0
+            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= SLICE_CHARS):
+                chars += len(texts[stop])
+                stop += 1
+            for data in self._slice(texts[start:stop]) if self.cuts else self._library(texts[start:stop]):
+                yield np.frombuffer(data + end, "<u4")
+            start = stop
+
+    def _library(self, texts: Sequence[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(list(texts), add_special_tokens=False) if texts else []
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _slice(self, texts: Sequence[str]) -> Iterator[bytes]:
+        cut = [text.split(" ") for text in texts]
+        known = self.parts.get
+        found = [list(map(known, parts)) for parts in cut]
+        new = {parts[at] for parts, values in zip(cut, found) if None in values for at, v in enumerate(values) if v is None}
+        fresh = self._encode_parts(new)
+        room = PARTS_HELD - len(self.parts)
+        self.parts.update(fresh if room >= len(fresh) else dict(islice(fresh.items(), max(0, room))))
+        whole = []
+        for at, (parts, values) in enumerate(zip(cut, found)):
+            if None in values:
+                found[at] = values = [fresh[part] if v is None else v for part, v in zip(parts, values)]
+            if LOOSE in values[1:] or len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+                whole.append(at)
+        uncut = set(whole)
+        # The first part has no space before it.
+        heads = self._library([texts[at] if at in uncut else parts[0] for at, parts in enumerate(cut)])
+        for at, (head, values) in enumerate(zip(heads, found)):
+            yield head if at in uncut else head + b"".join(values[1:])
+
+    def _encode_parts(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of " part"; LOOSE where white space at its ends binds it to its neighbours."""
+        out, cut, raw = {}, {}, []
+        for part in parts:
+            core = part.rstrip(TAIL)
+            if core.isalpha() and (core.isascii() or max(core) < COMMON):
+                cut[part] = (" " + core, part[len(core):]) if len(core) < len(part) else (" " + core,)
+            elif not part or part[0].isspace() or part[-1].isspace():
+                out[part] = LOOSE
+            elif not (part.isascii() or max(part) < COMMON) or any(s in part for s in self.special):
+                raw.append(part)
+            else:
+                cut[part] = tuple(PRE_TOKEN.findall(" " + part))
+        out.update(zip(raw, self._library([" " + part for part in raw])))
+        if len(self.pieces) > PIECES_HELD:
+            self.pieces.clear()
+        new = list({piece for pieces in cut.values() for piece in pieces} - self.pieces.keys())
+        for at in range(0, len(new), JOINED):
+            some = new[at:at + JOINED]
+            ids = np.array(self.merger.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edges = [-1, *np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
+            data = ids.tobytes()
+            self.pieces.update(zip(some, [data[4 * (a + 1):4 * b] for a, b in zip(edges, edges[1:])]))
+        held = self.pieces
+        for part, pieces in cut.items():
+            out[part] = held[pieces[0]] if len(pieces) == 1 else b"".join([held[piece] for piece in pieces])
+        return out
 
 
 # --- Spark ------------------------------------------------------------------------------
@@ -199,7 +255,8 @@ def write_token_files(
             yield packed()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ordered = rows.repartitionByRange(max(1, -(-size // TASK_BYTES)), "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     packed = ordered.mapInArrow(encode, "segment binary")
     # The text writer puts bytes down as they are.
     packed.select(F.col("segment").cast("string").alias("value")).write.option(
