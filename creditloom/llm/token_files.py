@@ -18,6 +18,7 @@ system Spark can reach and a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -39,7 +40,7 @@ BLOCK = 1 << 13
 SEGMENT_IDS = 1 << 19  # a segment is closed at the first document that reaches it
 SEGMENTS_PER_FILE = 16
 SEPARATOR = "\n"
-TASK_BYTES = 48 << 20  # of text for a task; more texts in a task share more of their parts
+TASK_BYTES = 96 << 20  # of text for a task; more texts in a task share more of their parts
 
 #: Fixed value: what a byte-level tokenizer cuts a text into before it merges.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -47,8 +48,7 @@ COMMON = "\u0500"  # below it, the pattern and the library agree on every charac
 TAIL = ".,;:!?"  # marks a word may end with; a run of them is a pre-token
 SLICE_CHARS = 1 << 20  # texts looked at together
 JOINED = 4096  # pre-tokens encoded in one call
-PARTS_HELD, PIECES_HELD = 250_000, 700_000
-LOOSE = b"loose"  # no multiple of four bytes, so no ids
+PARTS_HELD, PIECES_HELD = 800_000, 1_000_000
 
 
 # --- Packing ------------------------------------------------------------------------
@@ -177,31 +177,36 @@ class Encoder:
         cut = [text.split(" ") for text in texts]
         known = self.parts.get
         found = [list(map(known, parts)) for parts in cut]
-        new = {parts[at] for parts, values in zip(cut, found) if None in values for at, v in enumerate(values) if v is None}
-        fresh = self._encode_parts(new)
-        room = PARTS_HELD - len(self.parts)
-        self.parts.update(fresh if room >= len(fresh) else dict(islice(fresh.items(), max(0, room))))
-        whole = []
+        fresh, loose = self._encode_parts({part for parts, values in zip(cut, found) for part, v in zip(parts, values) if v is None})
+        uncut = set()
         for at, (parts, values) in enumerate(zip(cut, found)):
             if None in values:
-                found[at] = values = [fresh[part] if v is None else v for part, v in zip(parts, values)]
-            if LOOSE in values[1:] or len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
-                whole.append(at)
-        uncut = set(whole)
+                if loose and not loose.isdisjoint(parts[1:]):
+                    uncut.add(at)
+                    continue
+                found[at] = [fresh.get(part) if v is None else v for part, v in zip(parts, values)]
+            if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+                uncut.add(at)
+        room = max(0, PARTS_HELD - len(self.parts))
+        self.parts.update(fresh if room >= len(fresh) else dict(islice(fresh.items(), room)))
         # The first part has no space before it.
         heads = self._library([texts[at] if at in uncut else parts[0] for at, parts in enumerate(cut)])
         for at, (head, values) in enumerate(zip(heads, found)):
-            yield head if at in uncut else head + b"".join(values[1:])
+            if at in uncut:
+                yield head
+            else:
+                values[0] = head
+                yield b"".join(values)
 
-    def _encode_parts(self, parts: Iterable[str]) -> dict[str, bytes]:
-        """Ids of " part"; LOOSE where white space at its ends binds it to its neighbours."""
-        out, cut, raw = {}, {}, []
+    def _encode_parts(self, parts: Iterable[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Ids of " part", and the parts that white space at their ends binds to their neighbours."""
+        out, cut, raw, loose = {}, {}, [], set()
         for part in parts:
             core = part.rstrip(TAIL)
             if core.isalpha() and (core.isascii() or max(core) < COMMON):
                 cut[part] = (" " + core, part[len(core):]) if len(core) < len(part) else (" " + core,)
             elif not part or part[0].isspace() or part[-1].isspace():
-                out[part] = LOOSE
+                loose.add(part)
             elif not (part.isascii() or max(part) < COMMON) or any(s in part for s in self.special):
                 raw.append(part)
             else:
@@ -219,7 +224,7 @@ class Encoder:
         held = self.pieces
         for part, pieces in cut.items():
             out[part] = held[pieces[0]] if len(pieces) == 1 else b"".join([held[piece] for piece in pieces])
-        return out
+        return out, loose
 
 
 # --- Spark ------------------------------------------------------------------------------
@@ -237,6 +242,7 @@ def write_token_files(
     width = bits_for(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here forms cycles, and the collector would walk all that is remembered
         encoder, keys, documents, held = Encoder(path), [], [], 0
 
         def packed() -> pa.RecordBatch:
@@ -253,6 +259,7 @@ def write_token_files(
                     keys, documents, held = [], [], 0
         if documents:
             yield packed()
+        gc.enable()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
