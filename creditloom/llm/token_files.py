@@ -28,7 +28,6 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +39,11 @@ BLOCK = 1 << 13
 SEGMENT_IDS = 1 << 19  # a segment is closed at the first document that reaches it
 SEGMENTS_PER_FILE = 16
 SEPARATOR = "\n"
-TASK_BYTES = 96 << 20  # of text for a task; more texts in a task share more of their parts
+TASK_BYTES = 48 << 20  # of text for a task; more texts in a task share more of their parts
 
-#: Fixed value: what a byte-level tokenizer cuts a text into before it merges.
-PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-COMMON = "\u0500"  # below it, the pattern and the library agree on every character's class
-TAIL = ".,;:!?"  # marks a word may end with; a run of them is a pre-token
 SLICE_CHARS = 1 << 20  # texts looked at together
-JOINED = 4096  # pre-tokens encoded in one call
-PARTS_HELD, PIECES_HELD = 800_000, 1_000_000
+JOINED = 500  # parts encoded in one call
+PARTS_HELD = 700_000
 
 
 # --- Packing ------------------------------------------------------------------------
@@ -133,30 +128,28 @@ class Encoder:
     """Ids by the tokenizers library; what comes again in a task is encoded once.
 
     A byte-level tokenizer starts a new token at every single space between two
-    characters that are not white space, and merges only inside pre-tokens. So a
-    text is its first part and then " part" for each of the others; a part is its
-    pre-tokens; and only pre-tokens that are new go to the library, many at a
-    time with a special token between them. Texts, parts and tokenizers that
-    don't fit this go to the library as they are.
+    characters that are not white space. So a text is its first part and then
+    " part" for each of the others, and only parts that are new go to the
+    library, many at a time with a special token between them. Texts, parts and
+    tokenizers that don't fit this go to the library as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        self.library, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.library = Tokenizer.from_file(path)
         added, first = described["added_tokens"], described.get("pre_tokenizer") or {}
         self.between, self.between_id = (added[0]["content"], added[0]["id"]) if added else ("", None)
-        self.special = [token["content"] for token in added]
         self.cuts = (
             bool(added) and described.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex")
             and not first.get("add_prefix_space")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] or " " in t["content"] for t in added))
+        newline = self.library.encode("\n", add_special_tokens=False).ids
+        self.newline_id, self.cuts = newline[0] if newline else None, self.cuts and len(newline) == 1
         self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str], end_id: int) -> Iterator[np.ndarray]:
         end, start = np.array([end_id], "<u4").tobytes(), 0
@@ -177,15 +170,13 @@ class Encoder:
         cut = [text.split(" ") for text in texts]
         known = self.parts.get
         found = [list(map(known, parts)) for parts in cut]
-        fresh, loose = self._encode_parts({part for parts, values in zip(cut, found) for part, v in zip(parts, values) if v is None})
+        holes = [[at for at, value in enumerate(values) if value is None] for values in found]
+        fresh, loose = self._encode_parts({parts[at] for parts, missing in zip(cut, holes) for at in missing})
         uncut = set()
-        for at, (parts, values) in enumerate(zip(cut, found)):
-            if None in values:
-                if loose and not loose.isdisjoint(parts[1:]):
-                    uncut.add(at)
-                    continue
-                found[at] = [fresh.get(part) if v is None else v for part, v in zip(parts, values)]
-            if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+        for at, (parts, values, missing) in enumerate(zip(cut, found, holes)):
+            for hole in missing:
+                values[hole] = fresh.get(parts[hole])
+            if missing and loose and not loose.isdisjoint(parts[1:]) or len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
                 uncut.add(at)
         room = max(0, PARTS_HELD - len(self.parts))
         self.parts.update(fresh if room >= len(fresh) else dict(islice(fresh.items(), room)))
@@ -200,30 +191,20 @@ class Encoder:
 
     def _encode_parts(self, parts: Iterable[str]) -> tuple[dict[str, bytes], set[str]]:
         """Ids of " part", and the parts that white space at their ends binds to their neighbours."""
-        out, cut, raw, loose = {}, {}, [], set()
-        for part in parts:
-            core = part.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < COMMON):
-                cut[part] = (" " + core, part[len(core):]) if len(core) < len(part) else (" " + core,)
-            elif not part or part[0].isspace() or part[-1].isspace():
-                loose.add(part)
-            elif not (part.isascii() or max(part) < COMMON) or any(s in part for s in self.special):
-                raw.append(part)
-            else:
-                cut[part] = tuple(PRE_TOKEN.findall(" " + part))
-        out.update(zip(raw, self._library([" " + part for part in raw])))
-        if len(self.pieces) > PIECES_HELD:
-            self.pieces.clear()
-        new = list({piece for pieces in cut.values() for piece in pieces} - self.pieces.keys())
-        for at in range(0, len(new), JOINED):
-            some = new[at:at + JOINED]
-            ids = np.array(self.merger.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            edges = [-1, *np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
-            data = ids.tobytes()
-            self.pieces.update(zip(some, [data[4 * (a + 1):4 * b] for a, b in zip(edges, edges[1:])]))
-        held = self.pieces
-        for part, pieces in cut.items():
-            out[part] = held[pieces[0]] if len(pieces) == 1 else b"".join([held[piece] for piece in pieces])
+        loose = {part for part in parts if not part or part[0].isspace() or part[-1].isspace()}
+        raw = [part for part in parts if self.between in part]
+        new = parts - loose.union(raw)
+        lines = {part for part in new if "\n" in part}
+        out = dict(zip(raw, self._library([" " + part for part in raw])))
+        # A newline before " part" is a token of its own, cheaper to cut at than a special one.
+        for some, between, cut in ((list(new - lines), "\n", self.newline_id), (list(lines), self.between, self.between_id)):
+            for at in range(0, len(some), JOINED):
+                batch = some[at:at + JOINED]
+                joined = " " + (between + " ").join(batch)
+                found = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                edges = (4 * np.flatnonzero(found == cut)).tolist()
+                data = found.tobytes()
+                out.update(zip(batch, [data[a:b] for a, b in zip([0, *[e + 4 for e in edges]], [*edges, len(data)])]))
         return out, loose
 
 
