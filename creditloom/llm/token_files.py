@@ -42,8 +42,9 @@ SEPARATOR = "\n"
 TASK_BYTES = 48 << 20  # of text for a task; more texts in a task share more of their parts
 
 SLICE_CHARS = 1 << 20  # texts looked at together
+DOCS = 500  # documents taken from a batch at a time
 JOINED = 500  # parts encoded in one call
-PARTS_HELD = 700_000
+PARTS_HELD = 600_000
 
 
 # --- Packing ------------------------------------------------------------------------
@@ -230,14 +231,15 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([write_segment(keys, documents, width)], pa.binary())], ["segment"])
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts, end_id)):
-                keys.append(k)
-                documents.append(ids)
-                held += len(ids)
-                if held >= SEGMENT_IDS:
-                    yield packed()
-                    keys, documents, held = [], [], 0
+            for part in (batch.slice(at, DOCS) for at in range(0, len(batch), DOCS)):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for k, ids in zip(part.column(0).to_pylist(), encoder.encode(texts, end_id)):
+                    keys.append(k)
+                    documents.append(ids)
+                    held += len(ids)
+                    if held >= SEGMENT_IDS:
+                        yield packed()
+                        keys, documents, held = [], [], 0
         if documents:
             yield packed()
         gc.enable()
@@ -265,8 +267,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 shard, before = batch.column(0)[at].as_py(), 0
                 data = batch.column(1)[at].as_buffer()
                 for segment in segments(memoryview(data)):
-                    n = len(segment.keys)
-                    sums = [crc32(segment.document(d).astype("<u4").tobytes()) for d in range(n)]
+                    n, starts = len(segment.keys), (4 * segment.starts).tolist()
+                    every = memoryview(segment.ids(0, segment.n_ids).astype("<u4").tobytes())
+                    sums = [crc32(every[a:b]) for a, b in zip(starts, starts[1:])]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([shard] * n, pa.string()), pa.array(segment.keys, pa.int64()),
                         pa.array(before + segment.starts[:-1], pa.int64()), pa.array(np.diff(segment.starts), pa.int64()),
