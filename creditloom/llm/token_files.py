@@ -42,9 +42,9 @@ SEPARATOR = "\n"
 TASK_BYTES = 48 << 20  # of text for a task; more texts in a task share more of their parts
 
 SLICE_CHARS = 1 << 20  # texts looked at together
-DOCS = 500  # documents taken from a batch at a time
+DOCS = 300  # documents taken from a batch at a time
 JOINED = 500  # parts encoded in one call
-PARTS_HELD = 600_000
+PARTS_HELD = 700_000
 
 
 # --- Packing ------------------------------------------------------------------------
