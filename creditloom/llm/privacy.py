@@ -36,10 +36,10 @@ TERM = "term"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 CONTEXT = 300  # characters on either side of an identifier in which terms count as near
-TERM_PATTERN = r"[\p{L}\p{N}_]+"
-INSIDE = r"\p{L}\p{N}_"  # what a term may not touch
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # terms are runs of anything else
+INSIDE = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # what a term may not touch
 SHORTEST, LONGEST = 3, 64  # characters of a term
-SUPPORT = 3  # distinct contexts in which a term is near an identifier
+SUPPORT = 3  # different contexts in which a term is near an identifier
 PROTECTED_SHARE = 0.01  # an identifier in more of all texts than this is public
 GENERALISE, REMOVE = 0.9, 0.97
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,15 +70,13 @@ def _holds(kind: Column, found: Column) -> Column:
 
 
 def identifiers(docs: DataFrame, *, row: str, text: str) -> DataFrame:
-    """(row, digest, kind, rank, start, end, value, before, after), one row per identifier.
+    """(row, kind, rank, start, end, value, before, after), one row per identifier.
 
-    Positions are in code points, the end exclusive. `digest` tells texts apart,
-    `before` and `after` are up to CONTEXT characters up to the neighbouring
+    Positions are in code points, the end exclusive. `before` and `after` are up to CONTEXT characters up to the neighbouring
     matches of the kind. `row` is a unique long.
     """
-    cut = docs.select(
-        F.col(row).alias("row"), F.xxhash64(text, F.length(text)).alias("digest"), F.col(text).alias("text")).select(
-        "row", "digest", *[
+    cut = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).select(
+        "row", *[
             F.when(_possible(kind, F.col("text")), part).alias(f"{kind}_{name}")
             for kind, pattern in PATTERNS.items()
             for name, part in (("pieces", F.split("text", pattern, -1)), ("found", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))])
@@ -90,7 +88,7 @@ def identifiers(docs: DataFrame, *, row: str, text: str) -> DataFrame:
             _entry(rank))).otherwise(F.array().cast(
                 "array<struct<rank:int,place:int,gap:int,value:string,before:string,after:string>>"))
         for rank, kind in enumerate(KINDS)]
-    rows = cut.select("row", "digest", F.explode(F.concat(*whole)).alias("m")).select("row", "digest", "m.*").filter(
+    rows = cut.select("row", F.explode(F.concat(*whole)).alias("m")).select("row", "m.*").filter(
         F.col("value").isNotNull())
     in_order = Window.partitionBy("row", "rank").orderBy("place")
     upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,7 +96,7 @@ def identifiers(docs: DataFrame, *, row: str, text: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
     placed = rows.withColumn("end", end).withColumn("kind", kind)
     return placed.filter(_holds(F.col("kind"), F.col("value"))).select(
-        "row", "digest", "kind", "rank", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after")
+        "row", "kind", "rank", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after")
 
 
 def _entry(rank: int):
@@ -110,9 +108,8 @@ def _entry(rank: int):
 # --- Disclosure ----------------------------------------------------------------------------
 
 def terms_of(text: Column) -> Column:
-    """The distinct terms of a text, A-Z lower-cased."""
-    found = F.regexp_extract_all(plain_lower(text), F.lit(TERM_PATTERN), F.lit(0))
-    return F.filter(F.array_distinct(found), lambda t: F.length(t).between(SHORTEST, LONGEST) & ~t.rlike("^[0-9]+$"))
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.split(F.lower(text), BETWEEN))
 
 
 def revealing_terms(
@@ -121,44 +118,41 @@ def revealing_terms(
 ) -> tuple[DataFrame, DataFrame]:
     """((term, disclosure), (row, term)): terms of at least `generalise`, and the rows that hold them.
 
-    Texts are counted once however often they are repeated. A term counts if it
-    is near an identifier in `support` different contexts, so an identifier in
-    fewer texts has no terms; one in more than `protected_share` of all texts is
-    public.
+    A term counts if it is near an identifier in `support` different contexts,
+    so what copies repeat is one observation and an identifier in fewer texts has
+    no terms; one in more than `protected_share` of all texts is public.
     """
-    texts = docs.select(F.xxhash64(text, F.length(text)).alias("digest")).distinct().agg(F.count(F.lit(1)).alias("texts"))
+    texts = docs.agg(F.count(F.lit(1)).alias("texts"))
     value = F.when(F.col("kind") == "email", plain_lower(F.col("value"))).when(
         F.col("kind") == "ip", F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))
     named = found.withColumn("entity", F.concat_ws(":", "kind", value))
-    known = named.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e_texts")).filter(
+    known = named.groupBy("entity").agg(F.count_distinct("row").alias("e_texts")).filter(
         F.col("e_texts") >= support).crossJoin(F.broadcast(texts)).filter(F.col("e_texts") <= protected_share * F.col("texts"))
     near = named.join(known.select("entity"), "entity", "left_semi").select(
-        "entity", "digest", F.xxhash64("before", "after").alias("context"),
+        "entity", "row", F.xxhash64("before", "after").alias("context"),
         F.explode(terms_of(F.concat_ws(" ", "before", "after"))).alias("term"))
-    # A context that near copies repeat is one observation.
-    pairs = near.groupBy("entity", "term").agg(
-        F.count_distinct("digest").alias("both"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
+    whole = F.length("term").between(SHORTEST, LONGEST) & ~F.col("term").rlike("^[0-9]*$")
+    pairs = near.filter(whole).groupBy("entity", "term").agg(
+        F.count_distinct("row").alias("both"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
     pairs = materialize(pairs.join(known, "entity"), "pairs")
-    candidates = pairs.select("term").distinct()
-    holds = docs.select(
-        F.col(row).alias("row"), F.xxhash64(text, F.length(text)).alias("digest"), F.explode(terms_of(F.col(text))).alias("term"))
-    held = materialize(holds.join(candidates, "term", "left_semi"), "held")
-    spread = held.select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("t_texts"))
+    holds = docs.select(F.col(row).alias("row"), F.explode(terms_of(F.col(text))).alias("term"))
+    spread = holds.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("t_texts"))
     share = F.least(F.lit(1.0), F.col("both") / F.col("t_texts"))  # of the texts with the term
     information = F.log(F.col("texts") / F.col("e_texts"))
     told = pairs.join(spread, "term").withColumn("disclosure", 1 + F.log(share) / information)
     worst = materialize(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(
         F.col("disclosure") >= generalise), "revealing")
-    return worst, held.select("row", "term").join(worst.select("term"), "term", "left_semi")
+    return worst, holds.join(worst.select("term"), "term", "left_semi")
 
 
 def term_spans(docs: DataFrame, where: DataFrame, terms: DataFrame, *, row: str, text: str) -> DataFrame:
-    """(row, start, end, term, disclosure): every occurrence of a revealing term as a whole word.
+    """(row, start, end, term, disclosure): every occurrence of a revealing term as a whole word, in any case.
 
     Only rows that hold one are looked at, each cut by its term.
     """
-    pattern = F.concat(F.lit(rf"(?<![{INSIDE}])"), F.col("term"), F.lit(rf"(?![{INSIDE}])"))
-    texts = docs.select(F.col(row).alias("row"), plain_lower(F.col(text)).alias("text"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<![{INSIDE}])"), F.col("term"), F.lit(rf"(?![{INSIDE}])"))
+    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
     cut = texts.join(where, "row").select(
         "row", "term", F.posexplode(F.split("text", pattern, -1)).alias("place", "gap")).select(
         "row", "term", "place", F.length("gap").alias("gap"))
