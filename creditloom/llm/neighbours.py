@@ -34,6 +34,7 @@ EPSILON = 3.0  # of the hypothesis test; larger abandons later
 COLUMNS = 16  # of a block
 BIN_ROWS = 8192  # vectors of a task
 QUERY_ROWS = 4096  # queries of a task
+SPARSE = 0.02  # share of pairs left from which they are picked one by one
 PAIRS = 1 << 20  # query-vector pairs compared at a time
 SEED = 11
 
@@ -128,22 +129,24 @@ class Best:
 def scan(asked: np.ndarray, points: np.ndarray, least: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, point) that no test has abandoned. `least`: squared distance of each query's k-th best."""
     width = points.shape[1]
-    rows = cols = None
-    partial = None
+    dense = np.zeros((len(asked), len(points)))
+    alive, rows, cols, partial = None, None, None, None
     for start in range(0, width, COLUMNS):
         end = min(start + COLUMNS, width)
         a, b = asked[:, start:end], points[:, start:end]
-        if rows is None:
-            partial = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-        else:
-            difference = a[rows] - b[cols]
-            partial = partial + np.einsum("ij,ij->i", difference, difference)
         slack = 1.0 if end == width else (1.0 + EPSILON / np.sqrt(end)) ** 2 * (end / width)
         bound = least * slack + 1e-9 * index.longest  # rounding
         if rows is None:
-            rows, cols = np.nonzero(partial <= bound[:, None])
-            partial = partial[rows, cols]
+            # Many pairs left: one product of matrices is cheaper than picking them.
+            dense += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+            stay = dense <= bound[:, None]
+            alive = stay if alive is None else alive & stay
+            if end == width or np.count_nonzero(alive) < SPARSE * alive.size:
+                rows, cols = np.nonzero(alive)
+                partial = dense[rows, cols]
         else:
+            difference = a[rows] - b[cols]
+            partial = partial + np.einsum("ij,ij->i", difference, difference)
             stay = partial <= bound[rows]
             rows, cols, partial = rows[stay], cols[stay], partial[stay]
     return rows, cols
