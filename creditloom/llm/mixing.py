@@ -115,25 +115,25 @@ def _last_keys(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     Two steps narrow a leaf to one bucket of its order; only that one is ranked.
     """
     open_leaves = leaves.filter(F.col("rest") > 0)
-    keyed = rows.join(open_leaves.select("leaf", "full_epochs"), "leaf").select(
-        "leaf", "n_tokens", order_key(F.col("key"), F.col("full_epochs"), seed).alias("order"))
-    cut = open_leaves.select("leaf", F.col("rest").alias("_rest"), F.lit("").alias("prefix"))
+    cut = open_leaves.select("leaf", "full_epochs", F.col("rest").alias("_rest"), F.lit("").alias("prefix"))
     in_order = Window.partitionBy("leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    order = order_key(F.col("key"), F.col("full_epochs"), seed)
 
-    def narrowed(place: Column) -> DataFrame:
+    def narrowed(digits: int) -> DataFrame:
         """The first places of each leaf, in order, with the tokens before them."""
-        inside = keyed.join(cut, "leaf").filter(F.col("order").startswith(F.col("prefix")))
-        summed = inside.groupBy("leaf", place.alias("place")).agg(
-            F.sum("n_tokens").alias("tokens"), F.max("_rest").alias("_rest"))
+        # One join, then sums by place: rows of a frequent leaf can be split between tasks.
+        inside = rows.join(cut, "leaf").withColumn("order", order).filter(F.col("order").startswith(F.col("prefix")))
+        summed = inside.groupBy("leaf", F.substring("order", 1, digits).alias("place")).agg(
+            F.sum("n_tokens").alias("tokens"), F.max("_rest").alias("_rest"), F.max("full_epochs").alias("full_epochs"))
         told = summed.withColumn("_before", F.coalesce(F.sum("tokens").over(in_order), F.lit(0)))
         return told.filter(F.col("_before") < F.col("_rest"))
 
     for step in (1, 2):
-        reached = narrowed(F.substring("order", 1, step * BUCKET_DIGITS))
-        last = reached.groupBy("leaf").agg(F.max(F.struct("place", F.col("_rest") - F.col("_before"))).alias("last"))
+        last = narrowed(step * BUCKET_DIGITS).groupBy("leaf", "full_epochs").agg(
+            F.max(F.struct("place", (F.col("_rest") - F.col("_before")).alias("left"))).alias("last"))
         cut = materialize(last.select(
-            "leaf", F.col("last.col2").cast("long").alias("_rest"), F.col("last.place").alias("prefix")), "cut")
-    return narrowed(F.col("order")).groupBy("leaf").agg(F.max("place").alias("last"))
+            "leaf", "full_epochs", F.col("last.left").cast("long").alias("_rest"), F.col("last.place").alias("prefix")), "cut")
+    return narrowed(32).groupBy("leaf").agg(F.max("place").alias("last"))
 
 
 def plan(
