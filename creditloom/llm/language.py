@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .parts import slices
 from .simhash import unused
 
 WIDTH = 1024  # length of the vectors
@@ -110,14 +111,14 @@ class Grams:
         return counted.astype(np.float32) @ self.vectors(rows), found
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str]) -> Iterator[list[str]]:
     start = 0
     while start < len(texts):
         end, chars = start, 0
         while end < len(texts) and end - start < BATCH_DOCS and (end == start or chars + len(texts[end]) <= BATCH_CHARS):
             chars += len(texts[end])
             end += 1
-        yield start, end
+        yield texts[start:end]
         start = end
 
 
@@ -145,10 +146,11 @@ def learn(
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = Grams(width, gram, seed), {}
         for batch in batches:
-            texts, languages = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            for start, end in _slices(texts):
-                counted, rows, _ = grams.counts(texts[start:end])
-                names, which = np.unique(languages[start:end].astype(str), return_inverse=True)
+            languages, at = np.array(batch.column(1).to_pylist(), object), 0
+            for texts in (part for some in slices(batch.column(0)) for part in _slices(some)):
+                counted, rows, _ = grams.counts(texts)
+                names, which = np.unique(languages[at:at + len(texts)].astype(str), return_inverse=True)
+                at += len(texts)
                 per = np.zeros((len(names), counted.shape[1]))
                 np.add.at(per, which, counted)
                 vectors = grams.vectors(rows).astype(np.float64)
@@ -181,13 +183,12 @@ def predict(text: Column, profiles: Profiles) -> Column:
         lengths = np.linalg.norm(profiles.prototypes, axis=1, keepdims=True)
         unit = (profiles.prototypes / np.where(lengths == 0, 1, lengths)).astype(np.float64)
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
             names, scores = [], []
-            for start, end in _slices(texts):
-                bundled, letters = grams.bundles(texts[start:end])
+            for texts in (part for some in slices(batch) for part in _slices([t or "" for t in some])):
+                bundled, letters = grams.bundles(texts)
                 if not len(unit):
-                    names += [UNKNOWN] * (end - start)
-                    scores += [0.0] * (end - start)
+                    names += [UNKNOWN] * len(texts)
+                    scores += [0.0] * len(texts)
                     continue
                 bundled = bundled.astype(np.float64)
                 norm = np.linalg.norm(bundled, axis=1)

@@ -11,11 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
+
+DOCS = 300  # texts of an Arrow batch turned into Python strings at a time
 SLICE_CHARS = 1 << 21  # texts looked at together; bounds the list of parts in memory
 REMEMBERED = 600_000  # parts remembered before starting afresh
 LONGEST = 256  # characters of a part worth remembering
 
 
+def slices(column: pa.Array, size: int = DOCS) -> Iterator[list]:
+    """The values of a column, some at a time."""
+    for at in range(0, len(column), size):
+        yield column.slice(at, size).to_pylist()
+
+
 class PartCache:
     """`compute(strings)` gives one result per string."""
 

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .components import components
+from .parts import slices
 
 SHINGLE, DISTANCE, SEED, BITS = 4, 4, 42, 64
 HASHES = 1 << 16  # shingle hashes held at a time
@@ -56,7 +57,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Colum
     @F.arrow_udf(T.LongType())
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [fingerprint_of(t or b"", shingle, seed) for t in batch.cast(pa.binary()).to_pylist()]
+            found = [fingerprint_of(t or b"", shingle, seed) for texts in slices(batch.cast(pa.binary())) for t in texts]
             yield pa.array(np.array(found, np.uint64).view(np.int64))
 
     return prints(text)

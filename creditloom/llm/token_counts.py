@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parts import LONGEST, REMEMBERED, PartCache
+from .parts import LONGEST, REMEMBERED, PartCache, slices
 
 LIMIT = 1024
 PLACE_BITS = 40
@@ -114,7 +114,8 @@ def token_count(text: Column, path: str) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = MergeCounter(path)
         for batch in batches:
-            yield pa.array(counter.counts([text or "" for text in batch.to_pylist()]), pa.int64())
+            found = [n for texts in slices(batch) for n in counter.counts([text or "" for text in texts])]
+            yield pa.array(found, pa.int64())
 
     return count(text)
 
