@@ -44,7 +44,7 @@ TASK_BYTES = 48 << 20  # of text for a task; more texts in a task share more of
 SLICE_CHARS = 1 << 20  # texts looked at together
 DOCS = 300  # documents taken from a batch at a time
 JOINED = 500  # parts encoded in one call
-PARTS_HELD = 700_000
+PARTS_HELD = 350_000
 
 
 # --- Packing ------------------------------------------------------------------------
