@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .parts import lean
 from .simhash import unused
 
 SPAN = 13  # words in a row
@@ -81,7 +82,7 @@ def item_spans(benchmark: DataFrame, span: int, *, item: str, text: str) -> Data
     """(length, words, items): each distinct span with the sorted ids of the items it is from."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words = words_of(content or b"")
                 length = min(span, len(words))
@@ -101,7 +102,7 @@ def bitmap(spans: DataFrame, span: int, gram: int, bits: int) -> tuple[np.ndarra
     """The set slots as a packed bitmap of `bits` bits, and the lengths below `span` that occur (12 at most)."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             found = []
             for length, words in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 found.append(_slots(fingerprints(words.split(b" "), length, span, gram)[0], bits))
@@ -154,7 +155,7 @@ def candidate_spans(
                 *(batch.column(batch.schema.get_field_index(f.name)).take(at) for f in kept),
                 *(pa.array(c, k) for c, k in zip(zip(*held), kinds))], schema.names)
 
-        for batch in batches:
+        for batch in lean(batches):
             which, held = [], []
             for at, content in enumerate(batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()):
                 for row in spans(words_of(content or b"")):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parts import slices
+from .parts import lean, slices
 from .simhash import unused
 
 WIDTH = 1024  # length of the vectors
@@ -145,7 +145,7 @@ def learn(
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = Grams(width, gram, seed), {}
-        for batch in batches:
+        for batch in lean(batches):
             languages, at = np.array(batch.column(1).to_pylist(), object), 0
             for texts in (part for some in slices(batch.column(0)) for part in _slices(some)):
                 counted, rows, _ = grams.counts(texts)
@@ -182,7 +182,7 @@ def predict(text: Column, profiles: Profiles) -> Column:
         grams = Grams(width, profiles.gram, profiles.seed)
         lengths = np.linalg.norm(profiles.prototypes, axis=1, keepdims=True)
         unit = (profiles.prototypes / np.where(lengths == 0, 1, lengths)).astype(np.float64)
-        for batch in batches:
+        for batch in lean(batches):
             names, scores = [], []
             for texts in (part for some in slices(batch) for part in _slices([t or "" for t in some])):
                 bundled, letters = grams.bundles(texts)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .parts import lean
 
 FOLDS, HELD_OUT = 5, 1
 SMOOTHING = 0.5
@@ -85,7 +86,7 @@ def learn_pieces(words: DataFrame, texts: int, path: str) -> Pieces:
 
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         total = np.zeros(library.get_piece_size(), np.int64)
-        for batch in batches:
+        for batch in lean(batches):
             seen = batch.column(1).to_pylist()
             for ids, n in zip(library.encode(batch.column(0).to_pylist(), num_threads=1), seen):
                 for at in ids:
@@ -187,7 +188,7 @@ def word_table(docs: DataFrame, *, train: str, text: str) -> DataFrame:
                 pa.array([uses[w] for w in words], pa.int64())], ["word", "seen", "uses"])
 
         seen, uses = Counter(), Counter()
-        for batch in batches:
+        for batch in lean(batches):
             for learn, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words = words_of(data or b"")
                 uses.update(words)
@@ -217,7 +218,7 @@ def fit(docs: DataFrame, path: str, *, train: str, text: str = "text") -> Model:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
-        for batch in batches:
+        for batch in lean(batches):
             words = batch.column(0).cast(pa.binary()).to_pylist()
             base = np.log10(batch.column(1).to_numpy(zero_copy_only=False) + SMOOTHING)
             found = [lattice.word(w) / LN10 for w in words]
@@ -254,7 +255,7 @@ def score(docs: DataFrame, model: Model, *, by: list[str], text: str = "text", f
             columns[4] = columns[4].cast(pa.string())
             return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(width)), *columns], names)
 
-        for batch in batches:
+        for batch in lean(batches):
             which, held = [], []
             for at, data in enumerate(batch.column(width).cast(pa.binary()).to_pylist()):
                 words = words_of(data or b"")

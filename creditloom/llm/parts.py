@@ -25,6 +25,16 @@ def slices(column: pa.Array, size: int = DOCS) -> Iterator[list]:
         yield column.slice(at, size).to_pylist()
 
 
+def lean(batches: Iterator[Any]) -> Iterator[Any]:
+    """Arrow data, batch by batch; what a batch took goes back to the system before the next.
+
+    Workers are kept between tasks, and with them the memory Arrow holds on to.
+    """
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 class PartCache:
     """`compute(strings)` gives one result per string."""
 

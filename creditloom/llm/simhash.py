@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .components import components
-from .parts import slices
+from .parts import lean, slices
 
 SHINGLE, DISTANCE, SEED, BITS = 4, 4, 42, 64
 HASHES = 1 << 16  # shingle hashes held at a time
@@ -56,7 +56,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Colum
 
     @F.arrow_udf(T.LongType())
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in lean(batches):
             found = [fingerprint_of(t or b"", shingle, seed) for texts in slices(batch.cast(pa.binary())) for t in texts]
             yield pa.array(np.array(found, np.uint64).view(np.int64))
 
@@ -190,7 +190,7 @@ def _bit_pairs(prints: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS + 1, BITS + 1))
-        for batch in batches:
+        for batch in lean(batches):
             octets = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(-1, 8)
             bits = np.ones((len(octets), BITS + 1), np.float32)
             bits[:, :BITS] = np.unpackbits(octets, axis=1, bitorder="little")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parts import LONGEST, REMEMBERED, PartCache, slices
+from .parts import LONGEST, REMEMBERED, PartCache, lean, slices
 
 LIMIT = 1024
 PLACE_BITS = 40
@@ -113,7 +113,7 @@ def token_count(text: Column, path: str) -> Column:
     @F.arrow_udf(T.LongType())
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = MergeCounter(path)
-        for batch in batches:
+        for batch in lean(batches):
             found = [n for texts in slices(batch) for n in counter.counts([text or "" for text in texts])]
             yield pa.array(found, pa.int64())
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .parts import lean
 
 MAGIC = b"IDPACK01"
 HEAD = "<8sIIQQ"
@@ -230,7 +231,7 @@ def write_token_files(
         def packed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([write_segment(keys, documents, width)], pa.binary())], ["segment"])
 
-        for batch in batches:
+        for batch in lean(batches):
             for part in (batch.slice(at, DOCS) for at in range(0, len(batch), DOCS)):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for k, ids in zip(part.column(0).to_pylist(), encoder.encode(texts, end_id)):
@@ -262,7 +263,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for at in range(len(batch)):
                 shard, before = batch.column(0)[at].as_py(), 0
                 data = batch.column(1)[at].as_buffer()
