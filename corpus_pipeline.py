@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.llm import decontaminate, language, mixing, simhash, token_files
+from creditloom.llm.parts import bound_batches
 from creditloom.llm.queries import BYTE_BPE, END_ID, VOCABULARY, WEIGHTS, mixture_levels, read
 from creditloom.session import materialize, scratch_path
 
@@ -17,11 +18,13 @@ LEAST_SCORE = 0.05
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like no language at all, go."""
+    bound_batches(spark)
     return language.keep_identified(docs, LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: 4-word shingles, 4 bits."""
+    bound_batches(spark)
     return simhash.keep_one(docs, simhash.SHINGLE, simhash.DISTANCE)
 
 
@@ -37,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Binary shards below the shared folder; what is returned is read back from them."""
+    bound_batches(spark)
     folder = scratch_path(spark, "corpus-tokens")
     token_files.write_token_files(docs, folder, public_tokenizers.path(BYTE_BPE), END_ID, VOCABULARY)
     return token_files.read_token_files(spark, folder)

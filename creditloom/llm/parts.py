@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+ARROW_ROWS, ARROW_BYTES = "1000", "16m"  # of an Arrow batch, which the JVM and the worker both hold
 DOCS = 300  # texts of an Arrow batch turned into Python strings at a time
 SLICE_CHARS = 1 << 21  # texts looked at together; bounds the list of parts in memory
 REMEMBERED = 600_000  # parts remembered before starting afresh
@@ -25,6 +27,12 @@ def slices(column: pa.Array, size: int = DOCS) -> Iterator[list]:
         yield column.slice(at, size).to_pylist()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer of them in an Arrow batch than Spark's default of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def lean(batches: Iterator[Any]) -> Iterator[Any]:
     """Arrow data, batch by batch; what a batch took goes back to the system before the next.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from . import chat, decontaminate, language, lattice, mixing, neighbours, privacy, simhash, token_counts, token_files
+from .parts import bound_batches
 from .sql import CONTAMINATION, MIXTURE
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -27,6 +28,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
