@@ -99,6 +99,8 @@ class Grams:
     def vectors(self, rows: np.ndarray) -> np.ndarray:
         """The bound vector of every n-gram."""
         out = np.ones((len(rows), self.width), np.int8)
+        if not len(rows):
+            return out.astype(np.float32)
         for at in range(self.gram):
             alphabet, place = np.unique(rows[:, at], return_inverse=True)
             turned = np.array([np.roll(self.letter(int(c)), self.gram - 1 - at) for c in alphabet])
