@@ -238,5 +238,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
     marked = docs.withColumn(digest, F.xxhash64(text, F.length(text)))
     one = marked.select(F.col(digest).alias("row"), F.col(text).alias("text"))
     found = contamination(one, benchmark, by=["row"], text="text", **options)
-    bad = found.filter("contaminated").select(F.col("row").alias(digest))
+    # Written, so that its size is known before texts are joined: few digests are broadcast.
+    bad = materialize(found.filter("contaminated").select(F.col("row").alias(digest)), "contaminated")
     return marked.join(bad, digest, "left_anti").select(*docs.columns)

@@ -149,7 +149,8 @@ def plan(
     leaves = rows.groupBy("leaf", *names).agg(F.sum("n_tokens").alias("supply"))
     budgets = leaf_budgets(leaves.drop("leaf"), names, weights, budget, epochs)
     budgets = materialize(budgets.withColumn("leaf", _leaf([F.col(n) for n in names])), "budgets")
-    return budgets.join(_last_keys(rows, budgets, seed), "leaf", "left")
+    # Written, so that its size is known before texts are joined: a small tree is broadcast.
+    return materialize(budgets.join(_last_keys(rows, budgets, seed), "leaf", "left"), "mix-plan")
 
 
 def _leaf(parts: list[Column]) -> Column:
