@@ -40,12 +40,12 @@ BLOCK = 1 << 13
 SEGMENT_IDS = 1 << 19  # a segment is closed at the first document that reaches it
 SEGMENTS_PER_FILE = 16
 SEPARATOR = "\n"
-TASK_BYTES = 48 << 20  # of text for a task; more texts in a task share more of their parts
+TASK_BYTES = 24 << 20  # of text for a task; more texts in a task share more of their parts
 
 SLICE_CHARS = 1 << 20  # texts looked at together
 DOCS = 300  # documents taken from a batch at a time
 JOINED = 500  # parts encoded in one call
-PARTS_HELD = 350_000
+PARTS_HELD = 120_000
 
 
 # --- Packing ------------------------------------------------------------------------
@@ -126,6 +126,13 @@ def segments(data: bytes) -> Iterator[Segment]:
 
 # --- Encoding -------------------------------------------------------------------------
 
+def _without_model(path: str) -> str:
+    """A tokenizer file without its model, which is nearly all of it and comes last."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    return text[:text.index('"model"')].rstrip().rstrip(",") + "}"
+
+
 class Encoder:
     """Ids by the tokenizers library; what comes again in a task is encoded once.
 
@@ -140,9 +147,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            described = json.load(file)
         self.library = Tokenizer.from_file(path)
+        described = json.loads(_without_model(path))
         added, first = described["added_tokens"], described.get("pre_tokenizer") or {}
         self.between, self.between_id = (added[0]["content"], added[0]["id"]) if added else ("", None)
         self.cuts = (
