@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Binary shards below the shared folder; what is returned is read back from them."""
-    bound_batches(spark)
+    bound_batches(spark, "200", "4m")
     folder = scratch_path(spark, "corpus-tokens")
     token_files.write_token_files(docs, folder, public_tokenizers.path(BYTE_BPE), END_ID, VOCABULARY)
     return token_files.read_token_files(spark, folder)

@@ -27,10 +27,10 @@ def slices(column: pa.Array, size: int = DOCS) -> Iterator[list]:
         yield column.slice(at, size).to_pylist()
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, rows: str = ARROW_ROWS, size: str = ARROW_BYTES) -> None:
     """Texts are long: fewer of them in an Arrow batch than Spark's default of 10,000 rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def lean(batches: Iterator[Any]) -> Iterator[Any]:
