@@ -145,4 +145,4 @@ REPORT_LINES = [
 ]
 WARNING_LINE = "   ⚠️  %s"
 NO_WARNINGS = "   None"
-FACTOR_RAISES, FACTOR_LOWERS = "   \U0001f534 ", "   \U0001f7e2 "
+FACTOR_RAISES, FACTOR_LOWERS = "   🔴 ", "   🟢 "

@@ -28,6 +28,13 @@ def _quality(tp: Column, fp: Column, fn: Column, tn: Column, digits: int = 6) ->
     }
 
 
+def checked(df: DataFrame, score: str, label: str) -> DataFrame:
+    """`df`, failing at a row whose score is null or NaN or whose label is null: no count may leave it out."""
+    missing = F.col(score).isNull() | F.isnan(F.col(score).cast("double")) | F.col(label).isNull()
+    refused = F.raise_error(F.lit("a row without a score or a label")).cast(df.schema[score].dataType)
+    return df.withColumn(score, F.when(missing, refused).otherwise(F.col(score)))
+
+
 def threshold_sweep(
     df: DataFrame, thresholds: Sequence[float], score: str = SCORE, label: str = X.TARGET
 ) -> DataFrame:
@@ -39,7 +46,7 @@ def threshold_sweep(
     """
     ordered = sorted(thresholds)
     reached = sum((F.col(score) >= F.lit(float(t))).cast("int") for t in ordered)
-    counts = df.groupBy(reached.alias("reached")).agg(
+    counts = checked(df, score, label).groupBy(reached.alias("reached")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     # At most len(thresholds) + 1 entries from here on.
     steps = counts.agg(F.collect_list(F.struct("reached", "pos", "neg")).alias("steps"))
@@ -90,6 +97,7 @@ def confusion_matrix(
     df: DataFrame, threshold: float = X.DEFAULT_THRESHOLD, score: str = SCORE, label: str = X.TARGET
 ) -> DataFrame:
     """Always four cells, also when one is empty."""
+    df = checked(df, score, label)
     predicted = F.col(score) >= F.lit(float(threshold))
     cells = [(actual, guess) for actual in (0, 1) for guess in (0, 1)]
     one_row = df.agg(*[
@@ -108,7 +116,7 @@ def _ranked_scores(df: DataFrame, score: str, label: str, slices: int = 1000) ->
     Rows are grouped by score first. Distinct scores are then ranked within
     slices of the score range, so that no single task sees all of them.
     """
-    by_score = df.groupBy(F.col(score).alias("score")).agg(
+    by_score = checked(df, score, label).groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
     ).withColumn("slice", F.floor(F.col("score") * slices))
     lower_slices = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from ..operators.corpus import chunk
 from ..operators.report import memo_facts, report
 from ..operators.score import DELAY_SCORECARD, Scorecard, score
 from ..operators.vectors import with_counts
-from ..session import materialize, scratch_path, spread
+from ..session import materialize, scratch_path
 
 CAPPED_SPREAD = 4096
 
@@ -40,7 +40,7 @@ def chunk_store(documents: DataFrame) -> DataFrame:
 
 def corpus_job(documents: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """Build the chunk store; an existing one is kept unless overwritten."""
-    chunk_store(spread(documents, "doc_id")).write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    chunk_store(documents).write.mode("overwrite" if overwrite else "ignore").parquet(path)
     return read_store(documents.sparkSession, path)
 
 
@@ -184,4 +184,4 @@ def scratch_store(documents: DataFrame) -> DataFrame:
 
 def scratch_chunks(documents: DataFrame) -> DataFrame:
     """Chunks without counts, for exact lookups only."""
-    return materialize(chunk(spread(documents, "doc_id")), "chunks")
+    return materialize(chunk(documents), "chunks")

@@ -84,9 +84,3 @@ def broadcast_checked(df: DataFrame, most: int) -> DataFrame:
     counted = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     refusal = F.raise_error(F.lit(f"more than {most} rows to broadcast")).cast("boolean")
     return F.broadcast(counted.filter(F.when(F.col("_rows") <= most, True).otherwise(refusal)).drop("_rows"))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Few input files but many cores: deal the rows out. Large inputs stay as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= wanted else df.repartition(wanted, *keys)

@@ -91,3 +91,11 @@ def test_probability_at_the_threshold_is_rejected(spark):
     df = spark.createDataFrame([(0.55,), (0.549999,)], "p double")
     got = [r["d"] for r in df.select(decision(F.col("p"), 0.55).alias("d")).collect()]
     assert got == [X.REJECT, X.APPROVE]
+
+
+@pytest.mark.parametrize("rows", [[(0.9, 1), (None, 1)], [(float("nan"), 0), (0.1, 1)], [(0.5, None), (0.2, 0)]])
+def test_rows_without_score_or_label_are_refused(spark, rows):
+    df = spark.createDataFrame(rows, "risk_probability double, target int")
+    for made in (metrics.threshold_table(df), metrics.confusion_matrix(df), metrics.roc_auc(df)):
+        with pytest.raises(Exception, match="without a score"):
+            made.collect()
