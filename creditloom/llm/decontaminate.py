@@ -114,7 +114,7 @@ def bitmap(spans: DataFrame, span: int, gram: int, bits: int) -> tuple[np.ndarra
     packed = np.zeros(bits // 32, np.uint32)
     for row in cells.toLocalIterator():  # bits / 32 rows at most
         packed[row["cell"]] = row["value"]
-    lengths = [row["length"] for row in spans.select("length").filter(F.col("length") < span).distinct().collect()]
+    lengths = [row["length"] for row in spans.select("length").filter(F.col("length") < span).distinct().toLocalIterator()]
     return packed, sorted(lengths)
 
 

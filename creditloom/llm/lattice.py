@@ -95,7 +95,7 @@ def learn_pieces(words: DataFrame, texts: int, path: str) -> Pieces:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["piece", "n"])
 
     rows = words.filter("seen > 0").select("word", "seen").mapInArrow(count, "piece long, n long")
-    seen = {row["piece"]: row["n"] for row in rows.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    seen = {row["piece"]: row["n"] for row in rows.groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator()}
     pieces = _piece_list(path)
     weights = [seen.get(at, 0) + SMOOTHING for at, _, _ in pieces]
     total = sum(weights) + texts + SMOOTHING

@@ -188,7 +188,7 @@ def nearest(
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks")).filter(
         F.col("id").isNotNull() & usable(F.col("v")))
     rows = rows.withColumn("v", F.col("v").cast("array<double>"))
-    widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
+    widths = list(rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).toLocalIterator())
     empty = "query_id long, rank int, vec_id long, score double"
     if not widths:
         return spark.createDataFrame([], empty)
@@ -222,7 +222,7 @@ def _search(items: DataFrame, questions: DataFrame, index: Index, k: int) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], ["v", "ids", "list"])
 
     placed = materialize(items.select("v", "ids").mapInArrow(listed, "v array<double>, ids array<long>, list int"), "lists")
-    sizes = {row["list"]: row["count"] for row in placed.groupBy("list").count().collect()}
+    sizes = {row["list"]: row["count"] for row in placed.groupBy("list").count().toLocalIterator()}
     bins, room, at = {}, 0, -1  # list -> (first bin, bins)
     for name, size in sorted(sizes.items()):
         if size > BIN_ROWS:

@@ -127,7 +127,7 @@ def revealing_terms(
         F.col("kind") == "ip", F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))
     named = found.withColumn("entity", F.concat_ws(":", "kind", value))
     known = named.groupBy("entity").agg(F.count_distinct("row").alias("e_texts")).filter(
-        F.col("e_texts") >= support).crossJoin(F.broadcast(texts)).filter(F.col("e_texts") <= protected_share * F.col("texts"))
+        F.col("e_texts") >= support).withColumn("texts", texts.scalar()).filter(F.col("e_texts") <= protected_share * F.col("texts"))
     near = named.join(known.select("entity"), "entity", "left_semi").select(
         "entity", "row", F.xxhash64("before", "after").alias("context"),
         F.explode(terms_of(F.concat_ws(" ", "before", "after"))).alias("term"))

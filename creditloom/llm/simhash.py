@@ -169,7 +169,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         values = F.explode(F.array(*[
             F.struct(F.lit(at).alias("part"), _part_value(value, part).alias("v")) for at, part in enumerate(flat)]))
         counted = prints.select(values.alias("p")).groupBy("p.part", "p.v").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        found = {row["part"]: row["s"] for row in counted.groupBy("part").agg(F.sum(F.col("c") * F.col("c")).alias("s")).collect()}
+        found = {row["part"]: row["s"] for row in counted.groupBy("part").agg(F.sum(F.col("c") * F.col("c")).alias("s")).toLocalIterator()}
         mean = iter([found.get(at, 0.0) / max(n, 1) for at in range(len(flat))])
         return [[next(mean) for _ in parts] for parts in plans]
 
@@ -202,7 +202,7 @@ def _bit_pairs(prints: DataFrame) -> np.ndarray:
 
     cells = prints.select("print").mapInArrow(count, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros((BITS + 1) ** 2)
-    for row in cells.collect():
+    for row in cells.toLocalIterator():
         out[row["cell"]] = row["n"]
     return out.reshape(BITS + 1, BITS + 1)
 
