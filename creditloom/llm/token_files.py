@@ -44,8 +44,9 @@ TASK_BYTES = 24 << 20  # of text for a task; more texts in a task share more of
 
 SLICE_CHARS = 1 << 20  # texts looked at together
 DOCS = 300  # documents taken from a batch at a time
-JOINED = 500  # parts encoded in one call
+JOINED = 64  # parts encoded in one call
 PARTS_HELD = 120_000
+MARKS = ".,"  # a token of their own between an ASCII letter and a space
 
 
 # --- Packing ------------------------------------------------------------------------
@@ -154,9 +155,10 @@ class Encoder:
         self.cuts = (
             bool(added) and described.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex")
             and not first.get("add_prefix_space")
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] or " " in t["content"] for t in added))
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] or " " in t["content"] or not set(MARKS).isdisjoint(t["content"]) for t in added))
         newline = self.library.encode("\n", add_special_tokens=False).ids
         self.newline_id, self.cuts = newline[0] if newline else None, self.cuts and len(newline) == 1
+        self.marks = {mark: np.array(self.library.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in MARKS}
         self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str], end_id: int) -> Iterator[np.ndarray]:
@@ -202,6 +204,9 @@ class Encoder:
         loose = {part for part in parts if not part or part[0].isspace() or part[-1].isspace()}
         raw = [part for part in parts if self.between in part]
         new = parts - loose.union(raw)
+        ended = [part for part in new if part[-1] in MARKS and len(part) > 1 and part[-2].isascii() and part[-2].isalpha()]
+        new.difference_update(ended)
+        new.update({part[:-1] for part in ended} - self.parts.keys())
         lines = {part for part in new if "\n" in part}
         out = dict(zip(raw, self._library([" " + part for part in raw])))
         # A newline before " part" is a token of its own, cheaper to cut at than a special one.
@@ -213,6 +218,8 @@ class Encoder:
                 edges = (4 * np.flatnonzero(found == cut)).tolist()
                 data = found.tobytes()
                 out.update(zip(batch, [data[a:b] for a, b in zip([0, *[e + 4 for e in edges]], [*edges, len(data)])]))
+        known = self.parts.get
+        out.update([(part, (out.get(part[:-1]) or known(part[:-1])) + self.marks[part[-1]]) for part in ended])
         return out, loose
 
 
