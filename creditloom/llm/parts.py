@@ -8,6 +8,7 @@ where a part is empty or starts or ends with white space are worked on whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -33,14 +34,23 @@ def bound_batches(spark: SparkSession, rows: str = ARROW_ROWS, size: str = ARROW
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(batches: Iterator[Any]) -> Iterator[Any]:
     """Arrow data, batch by batch; what a batch took goes back to the system before the next.
 
-    Workers are kept between tasks, and with them the memory Arrow holds on to.
+    Workers are kept between tasks, and with them the memory Arrow and the C library hold on to.
     """
     for batch in batches:
         yield batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class PartCache:

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .parts import lean
+from .parts import give_back, lean
 
 MAGIC = b"IDPACK01"
 HEAD = "<8sIIQQ"
 BLOCK = 1 << 13
-SEGMENT_IDS = 1 << 19  # a segment is closed at the first document that reaches it
-SEGMENTS_PER_FILE = 16
+SEGMENT_IDS = 1 << 17  # a segment is closed at the first document that reaches it
+SEGMENTS_PER_FILE = 32
 SEPARATOR = "\n"
 TASK_BYTES = 24 << 20  # of text for a task; more texts in a task share more of their parts
 
@@ -257,6 +257,8 @@ def write_token_files(
         if documents:
             yield packed()
         gc.enable()
+        del encoder, documents
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
