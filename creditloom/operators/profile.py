@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 from ..functions.numbers import EXACT, percent
-from ..session import broadcast_checked
-from .split import MAX_CLASSES
+from ..session import materialize
 
 
 def _rows(structs: Sequence[Column]) -> Column:
@@ -89,8 +88,9 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFram
 def class_histogram(df: DataFrame, value: str = "LIMIT_BAL", label: str = X.TARGET, bins: int = 50) -> DataFrame:
     """Equal bins per class over that class's own range; the last bin is closed.
 
-    Empty bins are kept. The range table has one row per class and is broadcast:
-    a shuffle by class would send everything to two tasks.
+    Empty bins are kept. The range table has one row per class and is written
+    first, so its size is known: a small one is broadcast, since a shuffle by
+    class would send everything to two tasks.
     """
     low, high = F.min(value), F.max(value)
     spread = low == high
@@ -98,7 +98,8 @@ def class_histogram(df: DataFrame, value: str = "LIMIT_BAL", label: str = X.TARG
         F.when(spread, low - 0.5).otherwise(low).alias("low"),
         F.when(spread, high + 0.5).otherwise(high).alias("high"),
     ).withColumn("width", (F.col("high") - F.col("low")) / bins)
-    placed = df.select(label, value).join(broadcast_checked(ranges, MAX_CLASSES), label).select(
+    ranges = materialize(ranges, "ranges")
+    placed = df.select(label, value).join(ranges, label).select(
         label, F.least(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.lit(bins - 1)).alias("bin")
     )
     counted = placed.groupBy(label, "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed as X
-from ..session import broadcast_checked
+from ..session import materialize
 
 BUCKET_DIGITS = 5  # hex digits: 16**5 buckets, whatever the number of rows
-MAX_CLASSES = 10_000  # classes are broadcast, one row each
 TRAIN, TEST = "train", "test"
 
 
@@ -44,7 +43,8 @@ def stratified_split(
 ) -> DataFrame:
     """Adds `split`; every class gives exactly round(test_share * n) rows to the test part.
 
-    The rows themselves are not moved: they meet one cut point per class.
+    Rows meet one cut point per class. The cut points are written first, so their
+    size is known: few classes are broadcast and the rows stay where they are.
     """
     order = shuffle_order(key, seed)
     rows = df.select(F.col(label).alias("label"), F.col(key).alias("row_key"), order.alias("order"))
@@ -59,13 +59,13 @@ def stratified_split(
     in_bucket = Window.partitionBy("label").orderBy("order", "row_key")
     same_bucket = F.col("label").eqNullSafe(F.col("cut_label")) & (F.col("bucket") == F.col("cut_bucket"))
     cuts = (
-        rows.join(broadcast_checked(cut_buckets, MAX_CLASSES), same_bucket)
+        rows.join(materialize(cut_buckets, "cut-buckets"), same_bucket)
         .withColumn("rank", F.row_number().over(in_bucket))
         .filter(F.col("rank") == F.col("take"))
         .select(F.col("label").alias("cut_label"), F.struct("order", "row_key").alias("cut"))
     )
     own = F.struct(order.alias("order"), F.col(key).alias("row_key"))
-    return df.join(broadcast_checked(cuts, MAX_CLASSES), F.col(label).eqNullSafe(F.col("cut_label")), "left").select(
+    return df.join(materialize(cuts, "cuts"), F.col(label).eqNullSafe(F.col("cut_label")), "left").select(
         *df.columns, F.when(own <= F.col("cut"), TEST).otherwise(TRAIN).alias("split")
     )
 
