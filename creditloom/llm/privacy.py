@@ -3,11 +3,14 @@ r"""Personal data, and the terms that give it away.
 Identifiers of four kinds are found by pattern. The corpus then says which terms
 reveal them: a term that is found near one identifier, and hardly anywhere else,
 tells who is meant even where the identifier itself has been taken out. With
-D texts, the information of an identifier e is IC(e) = log(D / texts with e), a
-term's mutual information with it PMI(t, e) = log(D * texts with both / (texts
-with t * texts with e)), and its disclosure PMI / IC: 1 if the term is seen only
-with the identifier, 0 if they are independent. Terms above one threshold are
-generalised, above a higher one removed, wherever they occur.
+D texts, the information of an identifier e is IC(e) = -log P(e), where P(e) =
+texts with e / D; a term's mutual information with it is PMI(t, e) =
+log(P(e | t) / P(e)), where P(e | t) = (texts with both + a P(e)) / (texts with
+t + a), and its disclosure PMI / IC: near 1 if the term is seen only with the
+identifier, 0 if they are independent. The prior a keeps one sighting from
+counting as certain; no identifier is too rare or too frequent to be looked at.
+Terms above one threshold are generalised, above a higher one removed, wherever
+they occur.
 
 Only DataFrame functions. A text is cut by its matches into pieces, whose lengths
 give the positions. Repeated groups are possessive, which changes no match here
@@ -39,8 +42,7 @@ CONTEXT = 300  # characters on either side of an identifier in which terms count
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # terms are runs of anything else
 INSIDE = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # what a term may not touch
 SHORTEST, LONGEST = 3, 64  # characters of a term
-SUPPORT = 3  # different contexts in which a term is near an identifier
-PROTECTED_SHARE = 0.01  # an identifier in more of all texts than this is public
+PRIOR = 0.5  # texts with a term that are taken to hold an identifier as often as all texts do
 GENERALISE, REMOVE = 0.9, 0.97
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,34 +115,30 @@ def terms_of(text: Column) -> Column:
 
 
 def revealing_terms(
-    docs: DataFrame, found: DataFrame, *, row: str, text: str, support: int = SUPPORT,
-    protected_share: float = PROTECTED_SHARE, generalise: float = GENERALISE,
+    docs: DataFrame, found: DataFrame, *, row: str, text: str, protected_share: float = 1.0, generalise: float = GENERALISE,
 ) -> tuple[DataFrame, DataFrame]:
     """((term, disclosure), (row, term)): terms of at least `generalise`, and the rows that hold them.
 
-    A term counts if it is near an identifier in `support` different contexts,
-    so what copies repeat is one observation and an identifier in fewer texts has
-    no terms; one in more than `protected_share` of all texts is public.
+    Every identifier has terms, in however few texts it is; a caller may declare
+    those in more than `protected_share` of all texts public. One that is in all
+    texts tells nothing.
     """
     texts = docs.agg(F.count(F.lit(1)).alias("texts"))
     value = F.when(F.col("kind") == "email", plain_lower(F.col("value"))).when(
         F.col("kind") == "ip", F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))
     named = found.withColumn("entity", F.concat_ws(":", "kind", value))
-    known = named.groupBy("entity").agg(F.count_distinct("row").alias("e_texts")).filter(
-        F.col("e_texts") >= support).withColumn("texts", texts.scalar()).filter(F.col("e_texts") <= protected_share * F.col("texts"))
+    known = named.groupBy("entity").agg(F.count_distinct("row").alias("e_texts")).withColumn(
+        "p", F.col("e_texts") / texts.scalar()).filter((F.col("p") < 1) & (F.col("p") <= protected_share))
     near = named.join(known.select("entity"), "entity", "left_semi").select(
-        "entity", "row", F.xxhash64("before", "after").alias("context"),
-        F.explode(terms_of(F.concat_ws(" ", "before", "after"))).alias("term"))
+        "entity", "row", F.explode(terms_of(F.concat_ws(" ", "before", "after"))).alias("term"))
     whole = F.length("term").between(SHORTEST, LONGEST) & ~F.col("term").rlike("^[0-9]*$")
-    pairs = near.filter(whole).groupBy("entity", "term").agg(
-        F.count_distinct("row").alias("both"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
+    pairs = near.filter(whole).groupBy("entity", "term").agg(F.count_distinct("row").alias("both"))
     pairs = materialize(pairs.join(known, "entity"), "pairs")
     holds = docs.select(F.col(row).alias("row"), F.explode(terms_of(F.col(text))).alias("term"))
     spread = holds.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("t_texts"))
-    share = F.least(F.lit(1.0), F.col("both") / F.col("t_texts"))  # of the texts with the term
-    information = F.log(F.col("texts") / F.col("e_texts"))
-    told = pairs.join(spread, "term").withColumn("disclosure", 1 + F.log(share) / information)
+    share = (F.col("both") + PRIOR * F.col("p")) / (F.col("t_texts") + PRIOR)  # P(e | t)
+    told = pairs.join(spread, "term").withColumn("disclosure", 1 - F.log(share) / F.log("p"))
     worst = materialize(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(
         F.col("disclosure") >= generalise), "revealing")
     return worst, holds.join(worst.select("term"), "term", "left_semi")

@@ -171,6 +171,21 @@ def test_revealing_terms(spark):
     assert "orblatt" not in privacy.sanitise(docs, protected_share=0.05, remove=0.5).filter("doc_id = 2000").first().text
 
 
+def test_rare_and_frequent_identifiers_disclose(spark, small):
+    common = ["the house of many doors", "a river runs past it", "people talk and walk"]
+    rows = [(i, f"{common[i % 3]} number {i}") for i in range(200)]
+    rows += [(1000, f"{common[0]} Quillfeather asked q@one.org {common[1]}")]
+    rows += [(2000 + i, f"{common[i % 3]} Hotspurline hot@spur.com {common[i % 2]}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in privacy.report(docs).collect()}
+    for key, text in rows[200:]:
+        name = "Quillfeather" if key == 1000 else "Hotspurline"
+        at = text.index(name)
+        assert f"term:{at}:{at + len(name)}" in got[key].spans.split(",")
+    assert all(got[i].spans == "" for i in range(200))
+    assert privacy.report(spark.read.parquet(f"{small}/documents.parquet")).agg(F.sum("n_term")).first()[0] > 0
+
+
 def test_mixing(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     odd = table.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "n_chars")
