@@ -1,7 +1,7 @@
 r"""Personal data, and the terms that give it away.
 
 Identifiers of four kinds are found by pattern. The corpus then says which terms
-reveal them: a term that is found near one identifier, and hardly anywhere else,
+reveal them: a term that is found in texts with one identifier, and hardly anywhere else,
 tells who is meant even where the identifier itself has been taken out. With
 D texts, the information of an identifier e is IC(e) = -log P(e), where P(e) =
 texts with e / D; a term's mutual information with it is PMI(t, e) =
@@ -38,12 +38,11 @@ KINDS = list(PATTERNS)
 TERM = "term"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-CONTEXT = 300  # characters on either side of an identifier in which terms count as near
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # terms are runs of anything else
-INSIDE = r"0-9A-Za-z\x{80}-\x{10FFFF}"  # what a term may not touch
 SHORTEST, LONGEST = 3, 64  # characters of a term
 PRIOR = 0.5  # texts with a term that are taken to hold an identifier as often as all texts do
 GENERALISE, REMOVE = 0.9, 0.97
+COMMON = 0.002  # share of the texts from which a term is common; there are at most 1 / COMMON times the terms of a mean text
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,10 +71,9 @@ def _holds(kind: Column, found: Column) -> Column:
 
 
 def identifiers(docs: DataFrame, *, row: str, text: str) -> DataFrame:
-    """(row, kind, rank, start, end, value, before, after), one row per identifier.
+    """(row, kind, rank, start, end, value), one row per identifier.
 
-    Positions are in code points, the end exclusive. `before` and `after` are up to CONTEXT characters up to the neighbouring
-    matches of the kind. `row` is a unique long.
+    Positions are in code points, the end exclusive. `row` is a unique long.
     """
     cut = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).select(
         "row", *[
@@ -84,11 +82,8 @@ def identifiers(docs: DataFrame, *, row: str, text: str) -> DataFrame:
             for name, part in (("pieces", F.split("text", pattern, -1)), ("found", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))])
     whole = [
         F.when(F.size(f"{kind}_found") > 0, F.transform(
-            F.arrays_zip(
-                F.col(f"{kind}_pieces").alias("gap"), F.col(f"{kind}_found").alias("found"),
-                F.slice(f"{kind}_pieces", 2, F.greatest(F.size(f"{kind}_found"), F.lit(1))).alias("next")),
-            _entry(rank))).otherwise(F.array().cast(
-                "array<struct<rank:int,place:int,gap:int,value:string,before:string,after:string>>"))
+            F.arrays_zip(F.col(f"{kind}_pieces").alias("gap"), F.col(f"{kind}_found").alias("found")),
+            _entry(rank))).otherwise(F.array().cast("array<struct<rank:int,place:int,gap:int,value:string>>"))
         for rank, kind in enumerate(KINDS)]
     rows = cut.select("row", F.explode(F.concat(*whole)).alias("m")).select("row", "m.*").filter(
         F.col("value").isNotNull())
@@ -98,13 +93,12 @@ def identifiers(docs: DataFrame, *, row: str, text: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
     placed = rows.withColumn("end", end).withColumn("kind", kind)
     return placed.filter(_holds(F.col("kind"), F.col("value"))).select(
-        "row", "kind", "rank", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after")
+        "row", "kind", "rank", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
 def _entry(rank: int):
     return lambda zipped, place: F.struct(
-        F.lit(rank).alias("rank"), place.alias("place"), F.length(zipped["gap"]).alias("gap"), zipped["found"].alias("value"),
-        F.right(zipped["gap"], F.lit(CONTEXT)).alias("before"), F.left(zipped["next"], F.lit(CONTEXT)).alias("after"))
+        F.lit(rank).alias("rank"), place.alias("place"), F.length(zipped["gap"]).alias("gap"), zipped["found"].alias("value"))
 
 
 # --- Disclosure ----------------------------------------------------------------------------
@@ -126,41 +120,54 @@ def revealing_terms(
     texts = docs.agg(F.count(F.lit(1)).alias("texts"))
     value = F.when(F.col("kind") == "email", plain_lower(F.col("value"))).when(
         F.col("kind") == "ip", F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))
-    named = found.withColumn("entity", F.concat_ws(":", "kind", value))
-    known = named.groupBy("entity").agg(F.count_distinct("row").alias("e_texts")).withColumn(
+    named = found.select("row", F.concat_ws(":", "kind", value).alias("entity")).distinct()
+    known = named.groupBy("entity").agg(F.count(F.lit(1)).alias("e_texts")).withColumn(
         "p", F.col("e_texts") / texts.scalar()).filter((F.col("p") < 1) & (F.col("p") <= protected_share))
-    near = named.join(known.select("entity"), "entity", "left_semi").select(
-        "entity", "row", F.explode(terms_of(F.concat_ws(" ", "before", "after"))).alias("term"))
+    # The largest t_texts with which a term can still reach `generalise`, if it is in all texts with the identifier.
+    most = (F.col("e_texts") + PRIOR * F.col("p")) / F.pow("p", F.lit(1 - generalise)) - PRIOR + 1
+    named = materialize(named.join(known.withColumn("most", most), "entity"), "entities")
     whole = F.length("term").between(SHORTEST, LONGEST) & ~F.col("term").rlike("^[0-9]*$")
-    pairs = near.filter(whole).groupBy("entity", "term").agg(F.count_distinct("row").alias("both"))
-    pairs = materialize(pairs.join(known, "entity"), "pairs")
-    holds = docs.select(F.col(row).alias("row"), F.explode(terms_of(F.col(text))).alias("term"))
-    spread = holds.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("t_texts"))
+    texts_of = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    holds = texts_of.select("row", F.explode(terms_of(F.col("text"))).alias("term")).filter(whole)
+    near = materialize(texts_of.join(named.groupBy("row").agg(F.max("most").alias("most")), "row").select(
+        "row", "most", F.explode(terms_of(F.col("text"))).alias("term")).filter(whole), "near")
+    spread = materialize(holds.groupBy("term").agg(F.count(F.lit(1)).alias("t_texts")), "spread")
+    rare = materialize(spread.join(near.groupBy("term").agg(F.max("most").alias("most")), "term").filter(
+        F.col("t_texts") <= F.col("most")).select("term", "t_texts"), "rare")
+    seen = near.join(rare, "term").filter(F.col("t_texts") <= F.col("most")).select("row", "term", "t_texts")
+    pairs = seen.join(named, "row").filter(F.col("t_texts") <= F.col("most")).groupBy("entity", "term", "t_texts", "p").agg(
+        F.count(F.lit(1)).alias("both"))
     share = (F.col("both") + PRIOR * F.col("p")) / (F.col("t_texts") + PRIOR)  # P(e | t)
-    told = pairs.join(spread, "term").withColumn("disclosure", 1 - F.log(share) / F.log("p"))
+    told = pairs.withColumn("disclosure", 1 - F.log(share) / F.log("p"))
     worst = materialize(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(
         F.col("disclosure") >= generalise), "revealing")
-    return worst, holds.join(worst.select("term"), "term", "left_semi")
+    # Most words are common terms that reveal nothing: they are left out before the shuffle.
+    common = spread.filter(F.col("t_texts") >= COMMON * texts.scalar()).join(worst, "term", "left_anti").select("term")
+    return worst, holds.join(F.broadcast(common), "term", "left_anti").join(worst.select("term"), "term", "left_semi")
 
 
 def term_spans(docs: DataFrame, where: DataFrame, terms: DataFrame, *, row: str, text: str) -> DataFrame:
     """(row, start, end, term, disclosure): every occurrence of a revealing term as a whole word, in any case.
 
-    Only rows that hold one are looked at, each cut by its term.
+    Only rows that hold one are looked at, each cut into its words once. A row's
+    terms travel with it and stand before its words, so words are not shuffled.
     """
-    pattern = F.concat(F.lit(rf"(?iu)(?<![{INSIDE}])"), F.col("term"), F.lit(rf"(?![{INSIDE}])"))
-    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
-    cut = texts.join(where, "row").select(
-        "row", "term", F.posexplode(F.split("text", pattern, -1)).alias("place", "gap")).select(
-        "row", "term", "place", F.length("gap").alias("gap"))
-    upto = Window.partitionBy("row", "term").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = Window.partitionBy("row", "term").orderBy("place")
-    size = F.length("term")
-    start = F.sum("gap").over(upto) + F.col("place") * size
-    placed = cut.withColumn("start", start).withColumn("last", F.lead("place").over(later).isNull())
-    return placed.filter(~F.col("last")).join(terms, "term").select(
-        "row", "start", (F.col("start") + size).alias("end"), "term", "disclosure")
+    listed = where.groupBy("row").agg(F.collect_list("term").alias("terms"))
+    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(listed.hint("merge"), "row")
+    words = F.arrays_zip(
+        F.split(F.lower("text"), BETWEEN, -1).alias("term"), F.split("text", BETWEEN, -1).alias("word"),
+        F.regexp_extract_all("text", F.lit(BETWEEN), F.lit(0)).alias("after"))
+    sizes = F.transform(words, lambda w, place: F.struct(
+        place.alias("place"), w["term"].alias("term"), F.length(w["word"]).alias("size"),
+        F.coalesce(F.length(w["after"]), F.lit(0)).alias("after")))
+    asked = F.transform("terms", lambda t: F.struct(
+        F.lit(-1).alias("place"), t.alias("term"), F.lit(0).alias("size"), F.lit(0).alias("after")))
+    cut = texts.select("row", F.explode(F.concat(asked, sizes)).alias("w")).select("row", "w.*")
+    before = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("start", F.coalesce(F.sum(F.col("size") + F.col("after")).over(before), F.lit(0)))
+    hit = placed.withColumn("first", F.min("place").over(Window.partitionBy("row", "term"))).filter("first < 0 AND place >= 0")
+    return hit.join(terms, "term").select(
+        "row", "start", (F.col("start") + F.col("size")).alias("end"), "term", "disclosure")
 
 
 def find(docs: DataFrame, *, row: str, text: str, **options) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicates, decontamination, privacy, mixing and neighbours against brute force."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -186,6 +186,39 @@ def test_rare_and_frequent_identifiers_disclose(spark, small):
     assert privacy.report(spark.read.parquet(f"{small}/documents.parquet")).agg(F.sum("n_term")).first()[0] > 0
 
 
+def slow_disclosures(texts, entities):
+    held = [{t for t in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower())
+             if 3 <= len(t) <= 64 and not t.isdigit()} for text in texts]
+    with_term, both, with_entity = Counter(t for ts in held for t in ts), Counter(), Counter()
+    for ts, es in zip(held, entities):
+        with_entity.update(es)
+        both.update((e, t) for e in es for t in ts)
+    worst = defaultdict(float)
+    for (e, t), n in both.items():
+        p = with_entity[e] / len(texts)
+        if p < 1:
+            worst[t] = max(worst[t], 1 - np.log((n + 0.5 * p) / (with_term[t] + 0.5)) / np.log(p))
+    return {t: d for t, d in worst.items() if d >= 0.9}
+
+
+def test_terms_are_counted_in_whole_texts(spark):
+    filler = " ".join(["the house of many doors"] * 30)
+    texts = [f"{filler} number {i}" for i in range(300)]
+    texts += [f"{n}rblatt, 42, paid {i} with 4111 1111 1111 1111 {filler} then \u0130zmir{n}. zo@b.org" for i, n in enumerate(["Zo", "zO", "ZO"])]
+    texts += [f"zorblatt {filler} zorblatt"]
+    entities = [()] * 300 + [("card", "email")] * 3 + [()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = privacy.identifiers(docs, row="doc_id", text="text")
+    terms, where = privacy.revealing_terms(docs, base, row="doc_id", text="text")
+    want = slow_disclosures(texts, entities)
+    got = {r.term: r.disclosure for r in terms.collect()}
+    assert got == pytest.approx(want) and {"zorblatt", "paid", "then", "i\u0307zmirzo"} <= set(got)
+    found = {(r.row, r.term, texts[r.row][r.start:r.end]) for r in privacy.term_spans(docs, where, terms, row="doc_id", text="text").collect()}
+    assert {(r, w) for r, t, w in found if t == "zorblatt"} == {(300, "Zorblatt"), (301, "zOrblatt"), (302, "ZOrblatt"), (303, "zorblatt")}
+    assert {w for _, t, w in found if t == "i\u0307zmirzo"} == {"\u0130zmirZo", "\u0130zmirzO", "\u0130zmirZO"}
+    assert all(w.lower() == t for _, t, w in found)
+
+
 def test_mixing(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     odd = table.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "n_chars")
