@@ -12,14 +12,11 @@ from creditloom.llm.parts import bound_batches
 from creditloom.llm.queries import BYTE_BPE, END_ID, VOCABULARY, WEIGHTS, mixture_levels, read
 from creditloom.session import materialize, scratch_path
 
-#: A cosine below this can't be told from that of random vectors.
-LEAST_SCORE = 0.05
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like no language at all, go."""
+    """Documents without a letter go; a short one has a low score by nature and stays."""
     bound_batches(spark)
-    return language.keep_identified(docs, LEAST_SCORE)
+    return language.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

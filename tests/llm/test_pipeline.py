@@ -22,6 +22,15 @@ def test_stages(spark):
     assert all(b.start == a.start + a.n_tokens and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:]))
 
 
+def test_short_documents_with_a_language_stay(spark):
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    short = [(10_000 + i, text, "en") for i, text in enumerate([*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A.", "Avec.", "All rights reserved."])]
+    empty = [(20_000, None, None), (20_001, "", None), (20_002, "12 + 3.", None)]
+    docs = table.unionByName(spark.createDataFrame(short + empty, table.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()}
+    assert {key for key, _, _ in short} <= kept and not {key for key, _, _ in empty} & kept
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
