@@ -308,7 +308,7 @@ def _(spark, sf_dir):
 def _tree_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _training_table(spark, sf_dir)
     fitted = model.train(table, **SMALL)
-    return tree_explain.tree_contributions(model.predict(fitted, table), tree_explain.leaf_tables(fitted))
+    return tree_explain.tree_contributions(model.predict(fitted, table), tree_explain.model_trees(fitted))
 
 
 @query("g1_tree_contributions")

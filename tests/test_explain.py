@@ -58,6 +58,26 @@ def test_deep_trees_are_refused(people):
         tree_explain.leaf_tables(deep)
 
 
+@pytest.mark.parametrize("m", [1, 2, 5, 6])
+def test_quadrature_equals_the_tables(m):
+    shares = np.random.default_rng(m).uniform(0, 1, m)
+    shares[0] = 0.0  # a branch without training weight
+    holds = np.array([[(mask >> j) & 1 for j in range(m)] for mask in range(2**m)], dtype=float)
+    assert tree_explain._shapley(holds, shares) == pytest.approx(tree_explain._shapley_table(1.0, shares), abs=1e-12)
+
+
+def test_deep_and_shallow_trees_are_explained(people, fitted):
+    shallow = tree_explain.model_trees(fitted), tree_explain.leaf_tables(fitted)
+    matrix = np.array([r[:] for r in people.select(*[F.col(c).cast("double") for c in X.FEATURE_COLUMNS]).collect()])
+    assert tree_explain.contributions_of(matrix, shallow[0]) == pytest.approx(tree_explain.contributions_of(matrix, shallow[1]))
+    assert tree_explain.base_value(shallow[0]) == pytest.approx(tree_explain.base_value(shallow[1]))
+    deep = model.train(people, maxIter=2, maxDepth=10)
+    rows = tree_explain.tree_contributions(model.predict(deep, people), tree_explain.model_trees(deep), 12).collect()
+    raw = {r[X.KEY]: r["rawPrediction"][1] for r in deep.transform(people).collect()}
+    for r in rows:
+        assert r["base_value"] + sum(c["impact"] for c in r["contributions"]) == pytest.approx(2 * raw[r[X.KEY]], abs=1e-6)
+
+
 def test_linear_contributions_with_fixed_means(people):
     means = {c: 0.0 for c in DELAY_SCORECARD.weights}
     row = explain.linear_contributions(score(people), means=means).first()
