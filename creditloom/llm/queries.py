@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from . import chat, decontaminate, language, lattice, mixing, neighbours, privacy, simhash, token_counts, token_files
+from . import (
+    chat, decontaminate, language, lattice, mixing, neighbours, phrases, privacy, simhash, token_counts, token_files, topk, variants)
 from .parts import bound_batches
-from .sql import CONTAMINATION, MIXTURE
+from .sql import COLLOCATIONS, CONTAMINATION, MIXTURE, TOP_K
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 VOCABULARY, END_ID = 50257, 2
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE = {"op8_winnowed_contamination": CONTAMINATION, "op10_source_mixture": MIXTURE}
+ORACLE = {
+    "op8_winnowed_contamination": CONTAMINATION, "op10_source_mixture": MIXTURE, "op12_phrase_collocations": COLLOCATIONS,
+    "op13_threshold_top_k": TOP_K,
+}
 
 #: The tree of the mixture: what a source is, its language, the source.
 WEIGHTS = {"web": 5, "books": 3, "code": 2, "web/en": 3, "books/en": 2, "web/en/src0": 2}
@@ -101,3 +105,18 @@ def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"), mixture_levels(), WEIGHTS)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, sf_dir, "documents"), lose=199)
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -81,3 +81,49 @@ SELECT doc_id, domain, lang, source, n_tokens, granted,
   CAST(full_epochs + CASE WHEN ahead < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM summed
 """
+
+
+_NO_GAP = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+TOP_K = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE {_NO_GAP}),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+COLLOCATIONS = f"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang),
+spot AS (
+  SELECT lang, m, array_to_string(w[p : p + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM piece, range(1, 5) AS sizes(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM spot GROUP BY ALL HAVING count(*) >= 30),
+candidate AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cut AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidate)),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut.k, x.a AS l, y.a AS r,
+    CAST(CAST(2000000 AS HUGEINT) * cut.a // (x.a + y.a) AS BIGINT) AS score
+  FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = cut.head JOIN f AS y ON y.lang = cut.lang AND y.phrase = cut.tail),
+lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS turn FROM scored) WHERE turn = 1),
+part AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS a
+  FROM (SELECT lang, a, w, s, unnest(range(1, m - s + 2)) AS i FROM candidate, range(2, 4) AS sizes(s) WHERE s < m) GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN part ON part.lang = lowest.lang AND part.phrase = lowest.phrase
+  WHERE part.a IS NULL OR CAST(100 AS HUGEINT) * part.a < CAST(80 AS HUGEINT) * lowest.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000
+"""
