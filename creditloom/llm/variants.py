@@ -27,7 +27,8 @@ LEAST = 5  # occurrences of a word
 RATIO = 5  # times as frequent as a word its form is
 BLOCK_WORDS = 8192  # words of a block
 BLOCK_POINTS = 1 << 20  # code points of a block, for very long words
-TILE_ROWS = 256  # words of one block compared with the other block at a time
+TASK_PAIRS = 8  # pairs of blocks compared in a task
+TILE_ROWS = 128  # words of one block compared with the other block at a time
 WORDS_HELD = 1 << 20  # distinct words a task counts before it passes them on
 
 ASCII_LETTERS = byte_set("abcdefghijklmnopqrstuvwxyz")
@@ -125,11 +126,19 @@ def near_pairs(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarra
     if a.dtype != b.dtype:
         a, b = a.astype(np.uint32), b.astype(np.uint32)
     front, found = longer // 2, []
+    back = min(shorter, longer - front)
+    heads = [_lanes(m, range(front)) for m in (a, b)]
+    tails = [_lanes(m, range(len(m) - 1, len(m) - 1 - back, -1)) for m in (a, b)]
+    # Rows are padded to whole 64-bit words.
+    same, other = (np.zeros((TILE_ROWS, -(-len(right) // 8) * 8), bool) for _ in range(2))
+    equal = np.empty((TILE_ROWS, len(right)), bool)
     for start in range(0, len(left), TILE_ROWS):
-        tile = a[:, start:start + TILE_ROWS]
-        heads = _agree(tile, b, [(j, j) for j in range(front)])
-        tails = _agree(tile, b, [(shorter - 1 - j, longer - 1 - j) for j in range(min(shorter, longer - front))])
-        rows, cols = np.nonzero(heads | tails)
+        part = slice(start, start + TILE_ROWS)
+        tile = a[:, part]
+        size = tile.shape[1]
+        for lanes, held in ((heads, same), (tails, other)):
+            _agree(lanes, part, held[:size, :len(right)], equal[:size])
+        rows, cols = _places(np.bitwise_or(same[:size], other[:size], out=same[:size]))
         prefix = _common(tile, b, rows, cols, [(j, j) for j in range(shorter)])
         suffix = _common(tile, b, rows, cols, [(shorter - 1 - j, longer - 1 - j) for j in range(shorter)])
         near = (prefix + suffix >= longer - 1) & ((prefix < shorter) | (shorter < longer))
@@ -137,14 +146,27 @@ def near_pairs(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _agree(a: np.ndarray, b: np.ndarray, columns: list[tuple[int, int]]) -> np.ndarray:
-    """Pairs that are equal in all these columns."""
-    same = np.ones((a.shape[1], b.shape[1]), bool)
-    equal = np.empty_like(same)
-    for i, j in columns:
-        np.equal(a[i][:, None], b[j][None, :], out=equal)
-        same &= equal
-    return same
+def _lanes(matrix: np.ndarray, columns: range) -> list[np.ndarray]:
+    """The columns, as many in a 32-bit number as it can hold."""
+    many = 4 // matrix.itemsize
+    groups = [columns[at:at + many] for at in range(0, len(columns), many)]
+    return [sum(matrix[c].astype(np.uint32) << np.uint32(8 * at) for at, c in enumerate(group)) for group in groups]
+
+
+def _agree(lanes: list[list[np.ndarray]], part: slice, held: np.ndarray, equal: np.ndarray) -> None:
+    """Sets `held` for the pairs that are equal in all these columns."""
+    held[:] = True
+    for a, b in zip(*lanes):
+        np.equal(a[part, None], b[None, :], out=equal)
+        held &= equal
+
+
+def _places(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of what is true; few are, so words of eight are looked at first."""
+    words = held.view(np.uint64).reshape(-1)
+    hit = np.flatnonzero(words != 0)
+    which, byte = np.nonzero(words[hit].view(np.uint8).reshape(-1, 8))
+    return np.divmod(hit[which] * 8 + byte, held.shape[1])
 
 
 def _common(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray, columns: list[tuple[int, int]]) -> np.ndarray:
@@ -180,12 +202,17 @@ def _tiles(words: DataFrame) -> DataFrame:
         "length", F.ceil(F.col("n") / room).cast("long").alias("blocks")), "lengths")
     placed = sized.join(lengths, "length").withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")))
     blocks = materialize(placed.groupBy("length", "block").agg(F.collect_list(F.struct("word", "n")).alias("words")), "blocks")
-    left = blocks.select(F.col("length").alias("own"), F.col("block").alias("at"), F.col("words").alias("left"))
-    with_next = left.withColumn("length", F.explode(F.array("own", F.col("own") + 1))).join(lengths, "length")
+    own = blocks.select(F.col("length").alias("own"), F.col("block").alias("at"))
+    with_next = own.withColumn("length", F.explode(F.array("own", F.col("own") + 1))).join(lengths, "length")
     # Of one length, a block meets itself and those after it.
     start = F.when(F.col("length") == F.col("own"), F.col("at")).otherwise(F.lit(0))
-    met = with_next.withColumn("block", F.explode(F.sequence(start, F.col("blocks") - 1)))
-    return met.join(blocks.withColumnRenamed("words", "right"), ["length", "block"]).select(
+    met = materialize(with_next.withColumn("block", F.explode(F.sequence(start, F.col("blocks") - 1))).select(
+        "own", "at", "length", "block"), "pairs")
+    left = blocks.select(F.col("length").alias("own"), F.col("block").alias("at"), F.col("words").alias("left"))
+    pairs = met.join(left, ["own", "at"]).join(blocks.withColumnRenamed("words", "right"), ["length", "block"])
+    # Little data, much arithmetic: as many tasks as there is work for, however few bytes it is.
+    tasks = max(1, -(-met.count() // TASK_PAIRS))
+    return pairs.repartition(tasks, "own", "at", "length", "block").select(
         "left", "right", ((F.col("own") == F.col("length")) & (F.col("at") == F.col("block"))).alias("same"))
 
 
