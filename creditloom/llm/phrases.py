@@ -7,7 +7,8 @@ no route holds more suffixes than its last word has occurrences. A task sorts
 pointers to its suffixes: a pivot parts them, by the word at one depth, into
 less, equal and greater. Those that are equal are the occurrences of one phrase,
 their number is its count, and they are parted again one word deeper; partitions
-with too few occurrences are abandoned. Where all words of a phrase are frequent
+with too few occurrences are abandoned; a word that has too few itself ends the
+suffixes it stands in before they are routed. Where all words of a phrase are frequent
 its occurrences lie in several tasks, so nothing is abandoned there and the
 counts are added up afterwards.
 """
@@ -19,6 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,11 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 SPACES = " \t"
 CHUNK_WORDS = 1 << 21  # words whose suffixes are sorted together before they are passed on
 ROUTE_BYTES = 24 << 20  # of text for a route
+COMMON_BITS = 1 << 25  # of the table that tells tasks which words can be in a phrase that counts
 FREQUENT = (1 << 18, 1 << 16)  # occurrences of a frequent word: so many, or more than one in so many of all words
 
+CODEC = "zstd"
+
 NOT_BREAK, WORD = ~byte_set(BREAKS), ~byte_set(BREAKS + SPACES)
 
 
@@ -83,8 +88,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 class _Chunk:
     """Words of several batches; their suffixes go out sorted, equal ones as one with their number."""
 
-    def __init__(self, routes: int, frequent: dict[str, set[bytes]]):
-        self.routes, self.frequent = routes, frequent
+    def __init__(self, routes: int, frequent: dict[str, set[bytes]], common: np.ndarray):
+        self.routes, self.frequent, self.common = routes, frequent, common
         self.clear()
 
     def clear(self) -> None:
@@ -102,6 +107,11 @@ class _Chunk:
         if not self.size:
             return
         which, distinct = numbered(pa.chunked_array(self.words).combine_chunks())
+        # In order, so that neighbours have much in common and words as well as numbers pack well.
+        order = pa.compute.sort_indices(distinct)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        which, distinct = place[which], distinct.take(order)
         langs, new = np.concatenate(self.langs), np.concatenate(self.new)
         spelt = distinct.to_pylist()
         hashes = np.array([0, *map(crc32, spelt)], np.uint64)
@@ -109,15 +119,18 @@ class _Chunk:
             mine = langs == lang
             frequent = self.frequent.get(lang, set())
             hot = np.array([False, *[word in frequent for word in spelt]])
-            yield from self._of_lang(lang, which[mine] + 1, new[mine], hashes, hot, distinct)
+            begun = crc32(_begin(lang))
+            common = self.common[np.array([0, *[crc32(word, begun) % COMMON_BITS for word in spelt]])]
+            yield from self._of_lang(lang, which[mine] + 1, new[mine], hashes, hot, common, distinct)
         self.clear()
 
-    def _of_lang(self, lang, ids, new, hashes, hot, distinct) -> Iterator[pa.RecordBatch]:
+    def _of_lang(self, lang, ids, new, hashes, hot, common, distinct) -> Iterator[pa.RecordBatch]:
         suffixes = np.zeros((len(ids), MOST_WORDS), np.int32)
         suffixes[:, 0] = ids
-        along = np.ones(len(ids), bool)  # the suffix still runs on
+        stays = common[ids]  # what holds another word is in no phrase that counts
+        along = stays  # the suffix still runs on
         for depth in range(1, MOST_WORDS):
-            along = along[:-1] & ~new[depth:]
+            along = along[:-1] & ~new[depth:] & stays[depth:]
             suffixes[:-depth, depth][along] = ids[depth:][along]
         suffixes, times = _distinct_rows(suffixes[suffixes[:, 1] > 0])
         route, further = hashes[suffixes[:, 0]], hot[suffixes[:, 0]]
@@ -160,13 +173,29 @@ def _packed(lang: str, route: int, suffixes: np.ndarray, times: np.ndarray, dist
     number[0] = 0
     used = np.flatnonzero(number)
     number[used] = np.arange(1, len(used) + 1)
-    words = distinct.take(pa.array(used - 1)).cast(pa.large_string()).cast(pa.string())
-    body = number[suffixes].T.tobytes() + times.astype("<u4").tobytes()
+    words = b" ".join(distinct.take(pa.array(used - 1)).to_pylist())
+    body = _planes(number[suffixes].T) + _planes(times.astype("<u4"))
     return pa.RecordBatch.from_arrays([
-        pa.array([lang]), pa.array([route]), pa.array([len(times)], pa.int32()),
-        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-        pa.array([pa.compress(body, codec="zstd", asbytes=True)], pa.binary()),
-    ], ["lang", "route", "size", "words", "suffixes"])
+        pa.array([lang]), pa.array([route]), pa.array([len(times)], pa.int32()), pa.array([len(words)], pa.int32()),
+        pa.array([pa.compress(words, codec=CODEC, asbytes=True)], pa.binary()), pa.array([pa.compress(body, codec=CODEC, asbytes=True)], pa.binary()),
+    ], ["lang", "route", "size", "length", "words", "suffixes"])
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: small numbers leave long runs of zeros."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(size: int, length: int, words: pa.Scalar, suffixes: pa.Scalar) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, a row of numbers of them per suffix, times)."""
+    spelt = pa.decompress(words.as_buffer(), decompressed_size=length, codec=CODEC, asbytes=True).split(b" ")
+    body = pa.decompress(suffixes.as_buffer(), decompressed_size=4 * size * (MOST_WORDS + 1), codec=CODEC, asbytes=True)
+    columns, times = body[:4 * size * MOST_WORDS], body[4 * size * MOST_WORDS:]
+
+    def numbers(planes: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+    return spelt, numbers(columns).reshape(MOST_WORDS, size).T.astype(np.int32), numbers(times).astype(np.int64)
 
 
 # --- Sorting --------------------------------------------------------------------------------
@@ -217,16 +246,14 @@ def three_way(
 def _counted(frequent: dict[str, set[bytes]], least: int):
     def sort(route: pa.Table) -> pa.Table:
         lang = route["lang"][0].as_py()
-        listed = route["words"].combine_chunks()
-        which, distinct = numbered(listed.flatten().cast(pa.large_binary()))
-        ends = np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))
+        known_as: dict[bytes, int] = {}
         blocks, times = [], []
-        for end, size, n, packed in zip(ends, route["size"].to_pylist(), listed.value_lengths().to_pylist(), route["suffixes"]):
-            body = pa.decompress(packed.as_buffer(), decompressed_size=4 * size * (MOST_WORDS + 1), codec="zstd")
-            columns = np.frombuffer(body, "<u4").reshape(MOST_WORDS + 1, size)
-            blocks.append(np.r_[0, which[end - n:end] + 1].astype(np.int32)[columns[:-1].T])
-            times.append(columns[-1].astype(np.int64))
-        spelt = distinct.to_pylist()
+        for row in zip(route["size"].to_pylist(), route["length"].to_pylist(), route["words"], route["suffixes"]):
+            words, suffixes, n = _unpacked(*row)
+            place = np.array([0, *[known_as.setdefault(word, len(known_as) + 1) for word in words]], np.int32)
+            blocks.append(place[suffixes])
+            times.append(n)
+        spelt = list(known_as)
         known = frequent.get(lang, set())
         hot = np.array([False, *[word in known for word in spelt]])
         found = list(three_way(np.concatenate(blocks), np.concatenate(times), hot, least))
@@ -238,6 +265,25 @@ def _counted(frequent: dict[str, set[bytes]], least: int):
     return sort
 
 
+def _begin(lang: str) -> bytes:
+    return f"{lang}\0".encode()
+
+
+def common_words(words: DataFrame, least: int) -> np.ndarray:
+    """A table of COMMON_BITS bits that is true where a word of `least` occurrences or more falls, by crc32 of language and word.
+
+    Of a fixed size: the more frequent words there are, the more others pass for one.
+    """
+    place = F.pmod(F.crc32(F.concat("lang", F.lit("\0"), "word")), F.lit(COMMON_BITS)) + 1
+    blocks = words.filter(F.col("n") >= least).select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    table = np.zeros(COMMON_BITS, bool)
+    for row in blocks.toLocalIterator():
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        table[(row["block"] - 1) * len(bits):row["block"] * len(bits)] = bits
+    return table
+
+
 def phrase_counts(rows: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, f) of all phrases of 2 to MOST_WORDS words with `least` occurrences in rows (lang, text).
 
@@ -250,15 +296,17 @@ def phrase_counts(rows: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     for row in words.filter(F.col("n") > max(FREQUENT[0], total // FREQUENT[1])).toLocalIterator():
         frequent.setdefault(row["lang"], set()).add(row["word"].encode())
 
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(common_words(words, least)))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(routes, frequent)
+        chunk = _Chunk(routes, frequent, np.unpackbits(shared.value).view(bool))
         for batch in lean(batches):
             chunk.add(batch)
             if chunk.size >= CHUNK_WORDS:
                 yield from chunk.routed()
         yield from chunk.routed()
 
-    routed = rows.mapInArrow(route, "lang string, route long, size int, words array<string>, suffixes binary")
+    routed = rows.mapInArrow(route, "lang string, route long, size int, length int, words binary, suffixes binary")
     found = routed.groupBy("lang", "route").applyInArrow(_counted(frequent, least), "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
