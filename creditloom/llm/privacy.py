@@ -19,6 +19,8 @@ and keeps the matcher from recursing, so a run of any length is fine.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 TERM = "term"
+ALONE = "only:"  # stands for the identifiers that no other text has
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # terms are runs of anything else
@@ -126,6 +129,9 @@ def revealing_terms(
     # The largest t_texts with which a term can still reach `generalise`, if it is in all texts with the identifier.
     most = (F.col("e_texts") + PRIOR * F.col("p")) / F.pow("p", F.lit(1 - generalise)) - PRIOR + 1
     named = materialize(named.join(known.withColumn("most", most), "entity"), "entities")
+    # Identifiers that are in one text only tell the same of its terms: one stands for all of them.
+    own = F.when(F.col("e_texts") == 1, F.lit(ALONE)).otherwise(F.col("entity"))
+    asked = named.select("row", own.alias("entity"), "e_texts", "p", "most").distinct()
     whole = F.length("term").between(SHORTEST, LONGEST) & ~F.col("term").rlike("^[0-9]*$")
     texts_of = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
     holds = texts_of.select("row", F.explode(terms_of(F.col("text"))).alias("term")).filter(whole)
@@ -135,15 +141,25 @@ def revealing_terms(
     rare = materialize(spread.join(near.groupBy("term").agg(F.max("most").alias("most")), "term").filter(
         F.col("t_texts") <= F.col("most")).select("term", "t_texts"), "rare")
     seen = near.join(rare, "term").filter(F.col("t_texts") <= F.col("most")).select("row", "term", "t_texts")
-    pairs = seen.join(named, "row").filter(F.col("t_texts") <= F.col("most")).groupBy("entity", "term", "t_texts", "p").agg(
-        F.count(F.lit(1)).alias("both"))
-    share = (F.col("both") + PRIOR * F.col("p")) / (F.col("t_texts") + PRIOR)  # P(e | t)
-    told = pairs.withColumn("disclosure", 1 - F.log(share) / F.log("p"))
+
+    def disclosure(both: Column, t_texts: Column) -> Column:
+        share = (both + PRIOR * F.col("p")) / (t_texts + PRIOR)  # P(e | t)
+        return 1 - F.log(share) / F.log("p")
+
+    # So do all terms that are in one text only: what they disclose at most is worked out once per text.
+    single = asked.filter(F.col("most") >= 1).groupBy("row").agg(F.max(disclosure(F.lit(1), F.lit(1))).alias("disclosure"))
+    alone = seen.filter(F.col("t_texts") == 1).join(single, "row").select("term", "disclosure")
+    several = seen.filter(F.col("t_texts") > 1).join(asked, "row").filter(F.col("t_texts") <= F.col("most"))
+    # The only text of an identifier is part of what it is.
+    whose = F.when(F.col("e_texts") == 1, F.concat(F.lit(ALONE), F.col("row").cast("string"))).otherwise(F.col("entity"))
+    pairs = several.groupBy(whose.alias("entity"), "term", "t_texts", "p").agg(F.count(F.lit(1)).alias("both"))
+    told = pairs.select("term", disclosure(F.col("both"), F.col("t_texts")).alias("disclosure")).unionByName(alone)
     worst = materialize(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(
         F.col("disclosure") >= generalise), "revealing")
-    # Most words are common terms that reveal nothing: they are left out before the shuffle.
-    common = spread.filter(F.col("t_texts") >= COMMON * texts.scalar()).join(worst, "term", "left_anti").select("term")
-    return worst, holds.join(F.broadcast(common), "term", "left_anti").join(worst.select("term"), "term", "left_semi")
+    # Most words are common terms that reveal nothing: they are left out before the shuffle. Written, so that
+    # Spark knows how large they are.
+    common = materialize(spread.filter(F.col("t_texts") >= COMMON * texts.scalar()).join(worst, "term", "left_anti").select("term"), "common")
+    return worst, holds.join(common, "term", "left_anti").join(worst.select("term"), "term", "left_semi")
 
 
 def term_spans(docs: DataFrame, where: DataFrame, terms: DataFrame, *, row: str, text: str) -> DataFrame:
@@ -185,6 +201,15 @@ def find(docs: DataFrame, *, row: str, text: str, **options) -> DataFrame:
         "row", F.lit(TERM).alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "end", "disclosure"))
 
 
+def _told_apart(docs: DataFrame, row: str) -> DataFrame:
+    """Adds the long `row`, the same in every scan. Only a plan that reads files as they are gives each row its
+    place again; any other is written first."""
+    steps = re.findall(r"^[\s:+-]*(?:\*\(\d+\) )?(\w+)", docs._jdf.queryExecution().executedPlan().toString(), re.M)
+    if not set(steps) <= {"FileScan", "Project", "Filter", "ColumnarToRow"}:
+        docs = materialize(docs, "rows")
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, n_term, base, spans), one row per row of `docs`.
 
@@ -193,7 +218,7 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **option
     have none. Rows are told apart by their place in the scan, so repeated and
     null keys keep their own rows. Other columns are not looked at.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = _told_apart(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "row")
     spans = find(rows, row="row", text="text", **options)
     entry = F.struct("start", "rank", "end", "kind")
 
@@ -218,7 +243,7 @@ def sanitise(docs: DataFrame, *, text: str = "text", remove: float = REMOVE, **o
     with the tag of the first.
     """
     row, parts = unused(docs, "row"), unused(docs, "parts")
-    marked = docs.withColumn(row, F.monotonically_increasing_id())
+    marked = _told_apart(docs, row)
     spans = find(marked, row=row, text=text, **options)
     in_order = Window.partitionBy("row").orderBy("start", "rank", "end")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
