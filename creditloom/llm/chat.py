@@ -1,9 +1,9 @@
 r"""Conversations as training windows of a token budget.
 
 A conversation's turns are added up; a window takes whole turns while the sum
-stays within the budget. Each window starts with the conversation's system turn,
-a window after the first also with the last turns of the one before, up to a
-budget of their own. Only assistant turns that a window has for the first time
+stays within the budget. A window after the first repeats the conversation's
+system turn, the first one if there are several, wherever it stood, and then the
+last turns of the window before, up to a budget of their own. Only assistant turns that a window has for the first time
 carry the loss: repeated ones are masked, so each is learnt once.
 
     system     <<SYS>>text<</SYS>>
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .parts import slices
+
 BUDGET, HISTORY = 1024, 256  # tokens of a window, and of the turns it repeats
 TURN_TOKENS = 4  # of the marks around a turn
 WINDOWS_PER_BATCH = 200
@@ -80,7 +82,7 @@ class _Conversation:
 
     def __init__(self, key: int | None, budget: int, history: int):
         self.key, self.budget, self.history = key, budget, history
-        self.number, self.system, self.seen = 0, None, 0
+        self.number, self.system = 0, None
         self.open: list[tuple[str | None, str, int]] = []  # turns of the window that are new
         self.repeated: list[tuple[str | None, str, int]] = []
         self.used = 0
@@ -90,9 +92,8 @@ class _Conversation:
         if self.open and self.used + tokens > self.budget:
             yield self.close()
             self._carry(tokens)
-        if not self.seen and role == "system":
+        if self.system is None and role == "system":
             self.system = turn
-        self.seen += 1
         self.open.append(turn)
         self.used += tokens
 
@@ -102,7 +103,9 @@ class _Conversation:
         room = min(self.history, self.budget - coming - sum(t[2] for t in system))
         turns, kept = [*self.repeated, *self.open], []
         for turn in reversed(turns):
-            if turn is self.system or turn[2] > room:
+            if turn is self.system:
+                continue
+            if turn[2] > room:
                 break
             kept.append(turn)
             room -= turn[2]
@@ -148,22 +151,27 @@ def windows(
     own; null keys are one conversation; a null turn number comes first; rows with
     equal numbers are ordered by role, then text. Other columns are not looked at.
 
-    Turns are dealt by conversation and streamed in order: a task holds one
-    window, however long the conversation is.
+    Tokens are counted where the turns are. Then turns are dealt by conversation
+    and streamed in order: a task holds one window, however long the conversation is.
     """
 
+    @F.arrow_udf("long")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = counter()
+        for batch in batches:
+            yield pa.array([n for texts in slices(batch) for n in count([t or "" for t in texts])], pa.int64())
+
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, current, held = counter(), None, []
+        current, held = None, []
         names = [part.split()[0] for part in SCHEMA.split(", ")]
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            texts = [t or "" for t in columns[3]]
-            for k, r, t, n in zip(columns[0], columns[2], texts, count(texts)):
+            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4)]
+            for k, r, t, n in zip(*columns):
                 if current is None or current.key != k:
                     if current is not None:
                         held.append(current.close())
                     current = _Conversation(k, budget, history)
-                held += current.add(r, t, n + TURN_TOKENS)
+                held += current.add(r, t or "", n + TURN_TOKENS)
                 if len(held) >= WINDOWS_PER_BATCH:
                     yield _batch(held, names, _KINDS)
                     held = []
@@ -173,6 +181,7 @@ def windows(
             yield _batch(held, names, _KINDS)
 
     rows = turns.select(F.col(key).cast("long").alias("k"), F.col(turn).alias("n"), F.col(role).alias("r"), F.col(text).alias("t"))
+    rows = rows.withColumn("c", tokens(F.col("t")))
     return rows.repartition("k").sortWithinPartitions("k", "n", "r", "t").mapInArrow(form, SCHEMA)
 
 
