@@ -16,7 +16,7 @@ sample of SAMPLE vectors; every vector is in it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ class Index:
     centroids: np.ndarray  # in the rotated space
     probes: int
     longest: float  # squared length of the longest vector
+    sizes: np.ndarray | None = None  # vectors of each list
 
     def points(self, vectors: np.ndarray) -> np.ndarray:
         """Stored vectors with the equalising component, rotated."""
@@ -59,12 +60,14 @@ class Index:
     def list_of(self, points: np.ndarray) -> np.ndarray:
         return _closeness(points, self.centroids).argmax(axis=1)
 
-    def probed(self, asked: np.ndarray) -> np.ndarray:
-        """The lists each query looks into."""
-        close = _closeness(asked, self.centroids)
-        if self.probes >= close.shape[1]:
-            return np.tile(np.arange(close.shape[1]), (len(asked), 1))
-        return np.argpartition(-close, self.probes - 1, axis=1)[:, :self.probes]
+    def probed(self, asked: np.ndarray, k: int) -> np.ndarray:
+        """(queries, lists): whether a query looks into a list. The nearest ones, until they hold k vectors."""
+        order = np.argsort(-_closeness(asked, self.centroids), axis=1, kind="stable")
+        held = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        wanted = (np.arange(order.shape[1]) < self.probes) | (held < k)
+        looks = np.zeros(order.shape, bool)
+        np.put_along_axis(looks, order, wanted, axis=1)
+        return looks & (self.sizes > 0)
 
 
 def _closeness(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -232,24 +235,21 @@ def _search(items: DataFrame, questions: DataFrame, index: Index, k: int) -> Dat
             if size > room:
                 at, room = at + 1, BIN_ROWS
             bins[name], room = (at, 1), room - size
-    n_queries = questions.count()
-    groups = max(1, -(-n_queries // QUERY_ROWS))
+    index = replace(index, sizes=np.array([sizes.get(at, 0) for at in range(len(index.centroids))]))
     first = F.create_map(*[F.lit(x) for name, (a, _) in bins.items() for x in (name, a)])
     parts = F.create_map(*[F.lit(x) for name, (_, p) in bins.items() for x in (name, p)])
     part = F.pmod(F.xxhash64("v"), F.element_at(parts, F.col("list"))).cast("int")
-    left = placed.withColumn("bin", F.element_at(first, F.col("list")) + part).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    binned = placed.withColumn("bin", F.element_at(first, F.col("list")) + part)
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = index.asked(_matrix(batch.column(1)))
             which, where, lists = [], [], []
-            for row, chosen in enumerate(index.probed(asked).tolist()):
+            for row, looks in enumerate(index.probed(asked, k)):
                 visits: dict[int, list[int]] = {}
-                for name in chosen:
-                    if name in bins:
-                        for b in range(bins[name][0], sum(bins[name])):
-                            visits.setdefault(b, []).append(name)
+                for name in np.flatnonzero(looks).tolist():
+                    for b in range(bins[name][0], sum(bins[name])):
+                        visits.setdefault(b, []).append(name)
                 which += [row] * len(visits)
                 where += visits.keys()
                 lists += visits.values()
@@ -257,8 +257,11 @@ def _search(items: DataFrame, questions: DataFrame, index: Index, k: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [*taken.columns, pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["q", "v", "bin", "lists"])
 
-    right = questions.select("q", "v").mapInArrow(probing, "q long, v array<double>, bin int, lists array<int>").withColumn(
-        "part", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
+    visits = materialize(questions.select("q", "v").mapInArrow(probing, "q long, v array<double>, bin int, lists array<int>"), "visits")
+    # A bin is copied as often as its own visitors need.
+    copies = materialize(visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("copies")), "copies")
+    right = visits.join(copies, "bin").select("q", "v", "bin", "lists", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("part"))
+    left = binned.join(copies, "bin").select("v", "ids", "list", "bin", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
 
     def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         names, kinds = ["q", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
