@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 from ..functions.numbers import ratio
+from ..functions.running import sum_below
 
 SCORE = "risk_probability"
 
@@ -110,22 +111,19 @@ def confusion_matrix(
     ])))
 
 
-def _ranked_scores(df: DataFrame, score: str, label: str, slices: int = 1000) -> DataFrame:
-    """(score, pos, neg, neg_below): class counts per distinct score and the negatives below it.
+def _ranked_scores(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, score, pos, neg, neg_below): class counts per distinct score and the negatives of its group below it.
 
-    Rows are grouped by score first. Distinct scores are then ranked within
-    slices of the score range, so that no single task sees all of them.
+    Rows are grouped by score first. Distinct scores are dealt out by ranges, so
+    that no single task sees all of them, whatever their range is.
     """
-    by_score = checked(df, score, label).groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"),
-    ).withColumn("slice", F.floor(F.col("score") * slices))
-    lower_slices = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = by_score.groupBy("slice").agg(F.sum("neg").alias("slice_neg"))  # at most slices + 1 rows
-    offsets = per_slice.select("slice", F.coalesce(F.sum("slice_neg").over(lower_slices), F.lit(0)).alias("offset"))
-    lower = Window.partitionBy("slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("inner", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
-    return ranked.join(F.broadcast(offsets), "slice").select(
-        "score", "pos", "neg", (F.col("offset") + F.col("inner")).alias("neg_below"))
+    by_score = checked(df, score, label).groupBy(*by, F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    ranked = sum_below(by_score, [*by, "score"], "neg", "neg_below")
+    if not by:
+        return ranked
+    first = ranked.groupBy(*by).agg(F.min("neg_below").alias("_first"))  # one row per group
+    return ranked.join(first, list(by)).withColumn("neg_below", F.col("neg_below") - F.col("_first")).drop("_first")
 
 
 def _auc() -> Column:
@@ -137,9 +135,12 @@ def _auc() -> Column:
     return F.round(F.try_divide(F.sum(doubled).cast("double"), pairs), 6)
 
 
-def roc_auc(df: DataFrame, score: str = SCORE, label: str = X.TARGET) -> DataFrame:
-    """Area under the ROC curve."""
-    return _ranked_scores(df, score, label).agg(_auc().alias("roc_auc"))
+def roc_auc(
+    df: DataFrame, score: str = SCORE, label: str = X.TARGET, by: Sequence[str] = (), counts: bool = False,
+) -> DataFrame:
+    """Area under the ROC curve, one row, or one for each group of the columns `by`; with the rows of each class if wanted."""
+    classes = [F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")] if counts else []
+    return _ranked_scores(df, score, label, by).groupBy(*by).agg(_auc().alias("roc_auc"), *classes)
 
 
 def naive_baseline(df: DataFrame, label: str = X.TARGET) -> DataFrame:

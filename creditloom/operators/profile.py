@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from itertools import combinations
+from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,9 @@ from .. import fixed as X
 from ..functions.numbers import EXACT, percent
 from ..session import materialize
 
+BINS = 2048  # a bracket is cut into
+FEW = 4096  # rows of a bracket that are looked at one by one
+
 
 def _rows(structs: Sequence[Column]) -> Column:
     return F.inline(F.array(*structs))
@@ -135,76 +142,130 @@ def correlation(df: DataFrame, columns: Sequence[str] = X.CORRELATION_COLUMNS, d
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact quantiles with linear interpolation, without one reducer per column.
-
-    A bounded sketch brackets every quantile; rows below a bracket are only
-    counted, and just the values inside it (about 0.4 % of the rows) are grouped
-    and ranked. A bracket that misses its rank raises an error: the answer is
-    exact or absent.
+    """(column_name, share, value): exact quantiles with linear interpolation, null for a column without a value.
+
+    Every wanted rank has a bracket of values that holds it. A round counts the
+    values of all brackets of all columns in BINS bins each, in one scan; the bin
+    that holds the rank is the next bracket. Bins are equal in the order of
+    double-precision numbers, so BINS to the sixth power is all there is, and a
+    bracket also shrinks to the values that are there. Once a bracket holds few
+    rows, they are looked at. What comes to the driver is the counts of the
+    brackets and, at the end, at most FEW different values of each.
     """
-    margin, accuracy = 0.002, 10_000
-    probes = ", ".join(f"{max(0.0, min(1.0, p + d))}D" for p in shares for d in (-margin, margin))
-    # (column, share, suffix of its result columns, bracket ends)
-    keys = [
-        (c, share, f"{at}_{i}", f"bracket.{c}[{2 * i}]", f"bracket.{c}[{2 * i + 1}]")
-        for at, c in enumerate(map(_name, columns)) for i, share in enumerate(shares)
-    ]
-    titles = {_name(c): _text(c) for c in columns}
-    numbers = df.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in titles])
-    sketch = numbers.selectExpr(*[f"percentile_approx({c}, array({probes}), {accuracy}) AS {c}" for c in titles])
-    bracketed = numbers.withColumn("bracket", sketch.select(F.struct("*")).scalar())
-
-    # The neighbours of a bracket count too: with few rows a rank may fall just beside it.
-    one_row = bracketed.selectExpr(*[
-        f"""struct(count({c}) AS n, count_if({c} < {low}) AS below,
-            max(CASE WHEN {c} < {low} THEN {c} END) AS previous,
-            min(CASE WHEN {c} > {high} THEN {c} END) AS next) AS k{key}"""
-        for c, _, key, low, high in keys
-    ])
-    below = one_row.selectExpr(_inline([
-        f"struct({titles[c]} AS column_name, {share}D AS share, k{key}.n, k{key}.below, k{key}.previous, k{key}.next)"
-        for c, share, key, _, _ in keys
-    ]))
-    hits = ", ".join(
-        f"CASE WHEN {c} BETWEEN {low} AND {high} THEN struct({titles[c]} AS column_name, {share}D AS share, {c} AS value) END"
-        for c, share, _, low, high in keys
-    )
-    inside = (
-        bracketed.selectExpr(f"inline_outer(array_compact(array({hits})))").filter("column_name IS NOT NULL")
-        .groupBy("column_name", "share", "value").agg(F.count(F.lit(1)).alias("rows"))
-    )
-
-    in_order = Window.partitionBy("column_name", "share").orderBy("value")
-    last = F.sum("rows").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    # `below` has one row per column and share.
-    ranked = inside.withColumn("last", last).join(F.broadcast(below), ["column_name", "share"], "right").withColumns({
-        "last": F.col("last") + F.col("below"),
-        "first": F.col("last") + F.col("below") - F.col("rows") + 1,
-        "at": F.col("share") * (F.col("n") - 1),  # zero-based position
-    })
-
-    def inside_at(position: Column) -> Column:
-        return F.max(F.when(position.between(F.col("first"), F.col("last")), F.col("value")))
-
-    found = ranked.groupBy("column_name", "share", "n", "at", "below", "previous", "next").agg(
-        inside_at(F.floor("at")).alias("lower"), inside_at(F.ceil("at")).alias("upper"),
-        (F.col("below") + F.coalesce(F.sum("rows"), F.lit(0))).alias("above_at"),
-    )
-
-    def value_at(inside: str, position: Column) -> Column:
-        return F.coalesce(
-            inside, F.when(position == F.col("below") - 1, F.col("previous")),
-            F.when(position == F.col("above_at"), F.col("next")))
-
-    found = found.withColumns({
-        "lower": value_at("lower", F.floor("at")), "upper": value_at("upper", F.ceil("at"))})
-    missed = (F.col("n") > 0) & (F.col("lower").isNull() | F.col("upper").isNull())
-    value = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("at") - F.floor("at"))
-    return found.select(
-        "column_name", "share",
-        F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
-        .otherwise(value).alias("value"),
-    )
+    names = list(columns)
+    numbers = df.select(*[F.col(_name(c)).cast("double").alias(f"c{at}") for at, c in enumerate(names)])
+    ranges = numbers.agg(*[f(F.when(~F.isnan(f"c{at}"), F.col(f"c{at}"))).alias(f"{kind}{at}")
+                           for at in range(len(names)) for kind, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+    wanted: dict[tuple[int, int], float | None] = {}  # (column, rank) -> value
+    open_ranks = []
+    for at in range(len(names)):
+        n = ranges[f"n{at}"]
+        for rank in {r for share in shares if n for r in (floor(share * (n - 1)), ceil(share * (n - 1)))}:
+            wanted[at, rank] = None
+            open_ranks.append(Bracket(at, rank, 0, n, ranges[f"low{at}"], ranges[f"high{at}"]))
+    while open_ranks:
+        done = [b for b in open_ranks if b.low == b.high]
+        wanted.update({(b.column, b.rank): b.low for b in done})
+        few = [b for b in open_ranks if b.low < b.high and b.rows <= FEW]
+        if few:
+            wanted.update(_looked_up(numbers, few))
+        open_ranks = _narrowed(numbers, [b for b in open_ranks if b.low < b.high and b.rows > FEW])
+    rows = []
+    for at, name in enumerate(names):
+        n = ranges[f"n{at}"]
+        for share in shares:
+            place = share * (n - 1)
+            low, high = (wanted.get((at, f(place))) if n else None for f in (floor, ceil))
+            between = low if low == high else low + (high - low) * (place - floor(place))
+            rows.append((name, float(share), between))
+    return df.sparkSession.createDataFrame(rows, "column_name string, share double, value double")
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """A rank of a column lies among `rows` values from `low` to `high`, `below` others being smaller."""
+
+    column: int
+    rank: int
+    below: int
+    rows: int
+    low: float
+    high: float
+
+    @property
+    def span(self) -> tuple[int, float, float]:
+        return self.column, self.low, self.high
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros are one."""
+    bits = (np.asarray(values, np.float64) + 0.0).view(np.int64)
+    return np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
+
+
+def _steps(low: float, high: float) -> np.ndarray:
+    """Where the bins of a bracket begin."""
+    first, last = (int(x) for x in _order(np.array([low, high])))
+    return np.array([first + (last - first + 1) * at // BINS for at in range(BINS)], np.int64)
+
+
+def _narrowed(numbers: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """The bin that holds the rank of each bracket; one scan for all of them."""
+    if not brackets:
+        return []
+    spans = sorted({b.span for b in brackets})
+    steps = [_steps(low, high) for _, low, high in spans]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((len(spans), BINS), np.int64)
+        least, most = np.full((len(spans), BINS), np.inf), np.full((len(spans), BINS), -np.inf)
+        for batch in batches:
+            for at, (column, low, high) in enumerate(spans):
+                values = batch.column(column).drop_null().to_numpy(zero_copy_only=False)
+                values = values[(values >= low) & (values <= high)]
+                bins = np.searchsorted(steps[at], _order(values), side="right") - 1
+                rows[at] += np.bincount(bins, minlength=BINS)
+                np.minimum.at(least[at], bins, values)
+                np.maximum.at(most[at], bins, values)
+        used = np.nonzero(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (*(u.astype(np.int32) for u in used), rows[used], least[used], most[used])], ["span", "bin", "n", "low", "high"])
+
+    counted = numbers.mapInArrow(count, "span int, bin int, n long, low double, high double").groupBy("span", "bin").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    bins: dict[tuple, list] = {}
+    for row in counted.orderBy("span", "bin").toLocalIterator():
+        bins.setdefault(spans[row["span"]], []).append(row)
+    out = []
+    for b in brackets:
+        below = b.below
+        for row in bins[b.span]:
+            if b.rank < below + row["n"]:
+                out.append(replace(b, below=below, rows=row["n"], low=row["low"], high=row["high"]))
+                break
+            below += row["n"]
+    return out
+
+
+def _looked_up(numbers: DataFrame, brackets: list[Bracket]) -> dict[tuple[int, int], float]:
+    """The values of ranks whose brackets hold FEW rows or fewer."""
+    spans = sorted({b.span for b in brackets})
+    held = F.array_compact(F.array(*[
+        F.when(F.col(f"c{column}").between(low, high), F.struct(F.lit(at).alias("span"), F.col(f"c{column}").alias("value")))
+        for at, (column, low, high) in enumerate(spans)]))
+    counted = numbers.select(F.inline(held)).groupBy("span", "value").agg(F.count(F.lit(1)).alias("n"))
+    values: dict[tuple, list] = {}
+    for row in counted.orderBy("span", "value").toLocalIterator():
+        values.setdefault(spans[row["span"]], []).append(row)
+    out = {}
+    for b in brackets:
+        below = b.below
+        for row in values[b.span]:
+            below += row["n"]
+            if b.rank < below:
+                out[b.column, b.rank] = row["value"]
+                break
+    return out
 
 
 def dataset_summary(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
@@ -215,3 +276,10 @@ def dataset_summary(df: DataFrame, columns: Sequence[str], digits: int = 3) -> D
         for share, name in names.items()
     ])
     return describe(df, columns, digits).join(quartiles, "column_name", "left")
+
+
+def sample_rows(df: DataFrame, columns: Sequence[str], key: str = X.KEY, n: int = 5) -> DataFrame:
+    """The first rows in key order that go with a summary: (row, column_name, value as text)."""
+    numbered = preview(df, key, n).select(F.row_number().over(Window.orderBy(key)).alias("row"), *columns)  # n rows
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(_name(c)).cast("string").alias("value")) for c in columns])
+    return numbered.select("row", F.inline(cells))

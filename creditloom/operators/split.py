@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed as X
+from ..functions.running import numbered
 from ..session import materialize
 
 BUCKET_DIGITS = 5  # hex digits: 16**5 buckets, whatever the number of rows
@@ -48,7 +49,8 @@ def stratified_split(
     """
     order = shuffle_order(key, seed)
     rows = df.select(F.col(label).alias("label"), F.col(key).alias("row_key"), order.alias("order"))
-    rows = rows.withColumn("bucket", _bucket(F.col("order")))
+    # Class, key and hash only, written once: they are counted, and then ranked in one bucket per class.
+    rows = materialize(rows.withColumn("bucket", _bucket(F.col("order"))), "order")
     wanted = F.round(F.lit(test_share) * F.col("n_class")).cast("long")
     cut_buckets = (
         _bucket_offsets(rows).withColumn("wanted", wanted)
@@ -80,15 +82,18 @@ def split_report(df: DataFrame, label: str = X.TARGET) -> DataFrame:
 def stratified_folds(
     df: DataFrame, label: str = X.TARGET, key: str = X.KEY, k: int = X.FOLDS, seed: int = X.SEED
 ) -> DataFrame:
-    """Adds `fold` 0..k-1, dealt out in hash order within each class."""
-    marked = df.withColumn("order", shuffle_order(key, seed)).withColumn("bucket", _bucket(F.col("order")))
-    offsets = _bucket_offsets(marked.select(F.col(label).alias("label"), "bucket")).select(
-        F.col("label").alias("offset_label"), F.col("bucket").alias("offset_bucket"), "before")
-    in_bucket = Window.partitionBy(label, "bucket").orderBy("order", key)
-    ranked = marked.withColumn("rank", F.row_number().over(in_bucket))
-    same = F.col(label).eqNullSafe(F.col("offset_label")) & (F.col("bucket") == F.col("offset_bucket"))
-    place = F.col("before") + F.col("rank") - 1
-    return ranked.join(offsets, same).select(*df.columns, (place % k).cast("int").alias("fold"))
+    """Adds `fold` 0..k-1, dealt out in hash order within each class.
+
+    Rows are dealt out once, by ranges of class and hash; a row's place in its
+    class is its number less the number of the class' first row. Equal keys
+    follow each other in any order.
+    """
+    place, first = "_place", "_first"
+    rows = numbered(df.withColumn("_order", shuffle_order(key, seed)), [label, "_order", key], place)
+    starts = rows.groupBy(F.col(label).alias("_label")).agg(F.min(place).alias(first))  # one row per class
+    same = F.col(label).eqNullSafe(F.col("_label"))
+    return rows.join(materialize(starts, "starts"), same).select(
+        *df.columns, ((F.col(place) - F.col(first)) % k).cast("int").alias("fold"))
 
 
 def class_weight(df: DataFrame, label: str = X.TARGET) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from creditloom import fixed as X
+from creditloom.functions import running
 from creditloom.operators import metrics
 from creditloom.operators.score import decision
 from pyspark.sql import functions as F
@@ -96,6 +97,32 @@ def test_probability_at_the_threshold_is_rejected(spark):
 @pytest.mark.parametrize("rows", [[(0.9, 1), (None, 1)], [(float("nan"), 0), (0.1, 1)], [(0.5, None), (0.2, 0)]])
 def test_rows_without_score_or_label_are_refused(spark, rows):
     df = spark.createDataFrame(rows, "risk_probability double, target int")
-    for made in (metrics.threshold_table(df), metrics.confusion_matrix(df), metrics.roc_auc(df)):
+    for report in (metrics.threshold_table, metrics.confusion_matrix, metrics.roc_auc):
         with pytest.raises(Exception, match="without a score"):
-            made.collect()
+            report(df).collect()
+
+
+def plain_auc(rows):
+    pairs = [(p > n) + (p == n) / 2 for p, is_pos in rows if is_pos for n, other in rows if not other]
+    return round(sum(pairs) / len(pairs), 6) if pairs else None
+
+
+def test_auc_of_any_scores_and_groups(spark):
+    """Scores outside 0..1, huge and negative ones, ties; per group as alone."""
+    rng = random.Random(4)
+    rows = [(g, rng.choice([-1e12, -3.5, 0.0, 0.1, 0.7, 2.0, 1e9, rng.random() * 100]), int(rng.random() < 0.4)) for g in "abb" * 60]
+    rows += [("c", 0.5, 1)]  # one class only
+    df = spark.createDataFrame(rows, "g string, margin double, y int")
+    got = {r["g"]: r["roc_auc"] for r in metrics.roc_auc(df, "margin", "y", by=["g"]).collect()}
+    assert got == {g: plain_auc([(s, y) for h, s, y in rows if h == g]) for g in "abc"}
+    assert metrics.roc_auc(df, "margin", "y").first()["roc_auc"] == plain_auc([(s, y) for _, s, y in rows])
+
+
+def test_running_numbers_and_sums(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(50), i, rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "a long, b long, v long").repartition(7)
+    in_order = sorted(rows)
+    got = {(r["a"], r["b"]): (r["at"], r["below"]) for r in running.sum_below(running.numbered(df, ["a", "b"], "at"), ["a", "b"], "v", "below").collect()}
+    assert got == {row[:2]: (at, sum(v for *_, v in in_order[:at])) for at, row in enumerate(in_order)}
+    assert running.numbered(df.limit(0), ["a"], "at").count() == 0 and running.sum_below(df.limit(0), ["a"], "v", "s").count() == 0

@@ -35,6 +35,32 @@ def test_quantiles_of_few_rows(spark):
         assert got == list(np.quantile([float(i * i) for i in range(n)], [0.25, 0.5, 0.75])), n
 
 
+@pytest.mark.parametrize("bins, few", [(4, 1), (16, 10), (2048, 4096)])
+def test_quantiles_by_any_number_of_rounds(spark, monkeypatch, bins, few):
+    """Negative, tiny, huge and infinite values, both zeros, one hot value: brackets narrow until they are exact."""
+    monkeypatch.setattr(profile, "BINS", bins)
+    monkeypatch.setattr(profile, "FEW", few)
+    rng = np.random.default_rng(7)
+    wide = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), [0.0, -0.0, 5e-324, -5e-324, 1.7e308, np.inf, -np.inf]])
+    hot = np.where(rng.random(307) < 0.6, 42.0, rng.integers(-5, 5, 307))
+    df = spark.createDataFrame([(float(a), float(b), None if i % 3 else 7.0) for i, (a, b) in enumerate(zip(wide, hot))], "wide double, hot double, one double")
+    got = {(r["column_name"], r["share"]): r["value"] for r in profile.quantiles(df, ["wide", "hot", "one"], (0.0, 0.25, 0.5, 1.0)).collect()}
+    for share in (0.0, 0.25, 0.5, 1.0):
+        place = share * 306
+        low, high = (np.sort(wide)[int(f(place))] for f in (np.floor, np.ceil))
+        assert got["wide", share] == (low if low == high else pytest.approx(low + (high - low) * (place % 1), rel=1e-12))
+        assert got["hot", share] == np.quantile(hot, share) and got["one", share] == 7.0
+
+
+def test_the_bins_of_a_bracket_cover_it(monkeypatch):
+    monkeypatch.setattr(profile, "BINS", 8)
+    for low, high in ((-1.0, 1.0), (0.0, 5e-324), (-1e308, 1e308), (1.0, 1.0000000000000002)):
+        steps = profile._steps(low, high)
+        values = np.array([low, high, (low + high) / 2])
+        bins = np.searchsorted(steps, profile._order(values), side="right") - 1
+        assert bins.min() >= 0 and bins.max() < 8 and (np.diff(steps) >= 0).all()
+
+
 def test_histogram_of_one_value_and_closed_last_bin(spark):
     rows = [(1, 5.0)] * 3 + [(0, float(v)) for v in range(101)]
     df = spark.createDataFrame(rows, "target int, LIMIT_BAL double")
