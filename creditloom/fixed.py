@@ -14,6 +14,7 @@ ENGINEERED_COLUMNS = [
     "utilization_ratio", "avg_pay_delay", "max_pay_delay",
     "months_late", "payment_ratio", "delay_trend",
 ]
+WHOLE_FEATURES = ["max_pay_delay", "months_late", "delay_trend"]  # whole numbers among them
 FEATURE_COLUMNS = BASE_COLUMNS + ENGINEERED_COLUMNS
 KEY = "applicant_id"
 TARGET = "target"
@@ -60,6 +61,8 @@ SEARCH_SUBSAMPLE = (0.6, 1.0)
 SEARCH_COLUMN_SAMPLE = (0.6, 1.0)
 SEARCH_MIN_CHILD = (1, 10)
 SEARCH_MIN_GAIN = (0.0, 5.0)
+SEARCH_L1 = (0.0, 5.0)
+SEARCH_L2 = (0.1, 5.0)
 
 # --- Attribution ------------------------------------------------------------------
 TOP_SERVING, TOP_REPORT, TOP_CHART, TOP_GLOBAL = 5, 6, 8, 10
@@ -124,25 +127,22 @@ OVERVIEW_ANSWER = (
 OVERVIEW_SOURCE = "System Summary"
 
 # --- Report ------------------------------------------------------------------------
-RULE = "=" * 55
-REPORT_LINES = [
-    "",
-    RULE,
-    "CREDIT UNDERWRITING REPORT",
-    RULE,
-    "DATA VALIDATION",
-    "%s",
-    "RISK ASSESSMENT",
-    "   Decision            : %s",
-    "   Default Probability : %s%%",
-    "   Top Factors:",
-    "%s",
-    "COMPLIANCE CHECK",
-    "   %s",
-    "   Sources: %s",
-    RULE,
-    "",
-]
+REPORT = """
+=======================================================
+CREDIT UNDERWRITING REPORT
+=======================================================
+DATA VALIDATION
+%s
+RISK ASSESSMENT
+   Decision            : %s
+   Default Probability : %s%%
+   Top Factors:
+%s
+COMPLIANCE CHECK
+   %s
+   Sources: %s
+=======================================================
+"""
 WARNING_LINE = "   ⚠️  %s"
 NO_WARNINGS = "   None"
 FACTOR_RAISES, FACTOR_LOWERS = "   🔴 ", "   🟢 "

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,9 +12,9 @@ from pyspark.sql import functions as F
 EXACT = "decimal(24,6)"
 
 
-def row_sum(columns: Sequence[str]) -> Column:
-    """Sum across columns; null as soon as one is null."""
-    return reduce(add, [F.col(c) for c in columns])
+def months_total(columns: Sequence[str]) -> Column:
+    """The months of a history added up; a month that is missing leaves the total open."""
+    return F.expr(" + ".join(f"`{c}`" for c in columns))
 
 
 def exact_mean(value: Column) -> Column:

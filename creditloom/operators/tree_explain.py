@@ -3,16 +3,13 @@
 Per leaf the score is a game over the few features on its path: a feature in the
 coalition decides by its value, one outside by the share of training weight that
 follows the path. Tasks get the node tables and work out the Shapley values per
-Arrow batch. For shallow trees the 2**m outcomes of a leaf on m features can be
-tabulated once per model instead.
+Arrow batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
-from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -25,41 +22,9 @@ from .. import fixed as X
 from .. import schemas as S
 from ..session import scratch_path
 
-MAX_DEPTH = 6  # of tabulated trees
 LOG_ODDS = 2.0  # Spark's probability is 1 / (1 + exp(-2 * margin))
 
 
-@dataclass(frozen=True)
-class Leaf:
-    features: np.ndarray  # m feature indexes
-    low: np.ndarray  # the path holds where low < x <= high
-    high: np.ndarray
-    table: np.ndarray  # (2**m, m) contributions by the bit mask of tests that hold
-    bias: float
-
-    def add_to(self, out: np.ndarray, matrix: np.ndarray) -> None:
-        if len(self.features):
-            values = matrix[:, self.features]
-            holds = (values > self.low) & (values <= self.high)
-            out[:, self.features] += self.table[holds @ (1 << np.arange(len(self.features)))]
-
-
-def _shapley_table(value: float, shares: np.ndarray) -> np.ndarray:
-    m = len(shares)
-    order = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-    table = np.zeros((2**m, m))
-    for mask in range(2**m):
-        holds = np.array([(mask >> j) & 1 for j in range(m)], dtype=float)
-        for i in range(m):
-            others = [j for j in range(m) if j != i]
-            for size in range(m):
-                for joined in combinations(others, size):
-                    inside = np.prod([holds[j] for j in joined])
-                    outside = np.prod([shares[j] for j in others if j not in joined])
-                    table[mask, i] += order[size] * inside * outside * (holds[i] - shares[i])
-    return table * value
-
-
 @dataclass(frozen=True)
 class Tree:
     """A node table, and its contributions for trees of any depth.
@@ -152,16 +117,7 @@ def model_trees(model: PipelineModel) -> list[Tree]:
     return [_tree(nodes, weights[tree]) for tree, nodes in sorted(trees.items())]
 
 
-def leaf_tables(model: PipelineModel) -> list[Leaf]:
-    """All leaves with their tables, for shallow trees only; `model_trees` takes any depth."""
-    if model.stages[-1].getMaxDepth() > MAX_DEPTH:
-        raise ValueError(f"leaf tables need trees of depth {MAX_DEPTH} or less")
-    return [
-        Leaf(features, low, high, _shapley_table(value, shares), value * float(np.prod(shares)))
-        for tree in model_trees(model) for features, low, high, shares, value in tree.paths()]
-
-
-def contributions_of(matrix: np.ndarray, parts: list[Tree] | list[Leaf]) -> np.ndarray:
+def contributions_of(matrix: np.ndarray, parts: list[Tree]) -> np.ndarray:
     """(rows, features) log-odds contributions."""
     out = np.zeros(matrix.shape)
     for part in parts:
@@ -169,18 +125,18 @@ def contributions_of(matrix: np.ndarray, parts: list[Tree] | list[Leaf]) -> np.n
     return out
 
 
-def base_value(parts: list[Tree] | list[Leaf]) -> float:
+def base_value(parts: list[Tree]) -> float:
     """Mean log-odds over the training weights: what a score starts from."""
     return float(sum(part.bias for part in parts))
 
 
-def tree_contributions(df: DataFrame, parts: list[Tree] | list[Leaf], digits: int = 6) -> DataFrame:
+def tree_contributions(df: DataFrame, parts: list[Tree], digits: int = 6) -> DataFrame:
     """Adds `base_value` and `contributions`; they sum to the log-odds of the score."""
     bias = base_value(parts)
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def impacts(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in values:
-            matrix = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            matrix = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(X.FEATURE_COLUMNS))
             result = contributions_of(matrix, parts)
             offsets = np.arange(0, result.size + 1, matrix.shape[1], dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(result.reshape(-1)))

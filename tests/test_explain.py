@@ -25,7 +25,7 @@ def fitted(people):
 
 
 def test_tree_contributions_add_up_to_the_log_odds(people, fitted):
-    rows = tree_explain.tree_contributions(model.predict(fitted, people), tree_explain.leaf_tables(fitted), 12).collect()
+    rows = tree_explain.tree_contributions(model.predict(fitted, people), tree_explain.model_trees(fitted), 12).collect()
     raw = {r[X.KEY]: r["rawPrediction"][1] for r in fitted.transform(people).collect()}
     for r in rows:
         total = r["base_value"] + sum(c["impact"] for c in r["contributions"])
@@ -34,43 +34,23 @@ def test_tree_contributions_add_up_to_the_log_odds(people, fitted):
     assert [c["feature"] for c in rows[0]["contributions"]] == X.FEATURE_COLUMNS
 
 
-def test_leaf_tables_are_shapley_values():
-    # A leaf on three features, against the mean over all orders in which features join.
-    shares, value, m = np.array([0.3, 0.6, 0.9]), 2.0, 3
-    got = tree_explain._shapley_table(value, shares)
+@pytest.mark.parametrize("m", [1, 2, 3, 5])
+def test_a_leaf_has_shapley_values(m):
+    """Against the mean over all orders in which its features join."""
+    shares = np.random.default_rng(m).uniform(0, 1, m)
+    shares[0] = 0.0  # a branch without training weight
+    holds = np.array([[(mask >> j) & 1 for j in range(m)] for mask in range(2**m)], dtype=float)
+    got = tree_explain._shapley(holds, shares)
     for mask in range(2**m):
-        holds = [(mask >> j) & 1 for j in range(m)]
-
         def worth(joined):
-            return value * np.prod([holds[j] if j in joined else shares[j] for j in range(m)])
+            return np.prod([holds[mask][j] if j in joined else shares[j] for j in range(m)])
 
         for i in range(m):
-            gains = []
-            for order in permutations(range(m)):
-                before = set(order[:order.index(i)])
-                gains.append(worth(before | {i}) - worth(before))
-            assert got[mask, i] == pytest.approx(np.mean(gains))
-
-
-def test_deep_trees_are_refused(people):
-    deep = model.train(people, maxIter=1, maxDepth=7)
-    with pytest.raises(ValueError):
-        tree_explain.leaf_tables(deep)
-
-
-@pytest.mark.parametrize("m", [1, 2, 5, 6])
-def test_quadrature_equals_the_tables(m):
-    shares = np.random.default_rng(m).uniform(0, 1, m)
-    shares[0] = 0.0  # a branch without training weight
-    holds = np.array([[(mask >> j) & 1 for j in range(m)] for mask in range(2**m)], dtype=float)
-    assert tree_explain._shapley(holds, shares) == pytest.approx(tree_explain._shapley_table(1.0, shares), abs=1e-12)
+            gains = [worth({*order[:order.index(i)], i}) - worth(set(order[:order.index(i)])) for order in permutations(range(m))]
+            assert got[mask, i] == pytest.approx(np.mean(gains), abs=1e-12)
 
 
-def test_deep_and_shallow_trees_are_explained(people, fitted):
-    shallow = tree_explain.model_trees(fitted), tree_explain.leaf_tables(fitted)
-    matrix = np.array([r[:] for r in people.select(*[F.col(c).cast("double") for c in X.FEATURE_COLUMNS]).collect()])
-    assert tree_explain.contributions_of(matrix, shallow[0]) == pytest.approx(tree_explain.contributions_of(matrix, shallow[1]))
-    assert tree_explain.base_value(shallow[0]) == pytest.approx(tree_explain.base_value(shallow[1]))
+def test_deep_trees_are_explained(people):
     deep = model.train(people, maxIter=2, maxDepth=10)
     rows = tree_explain.tree_contributions(model.predict(deep, people), tree_explain.model_trees(deep), 12).collect()
     raw = {r[X.KEY]: r["rawPrediction"][1] for r in deep.transform(people).collect()}

@@ -49,11 +49,3 @@ def test_library_never_collects_data():
     text = "\n".join(p.read_text() for p in LIBRARY.rglob("*.py"))
     for word in (r"\.collect\(", r"toPandas\(", r"localCheckpoint", r"crossJoin\(", r"\.rdd\b", r"coalesce\(1\)\.write\.csv"):
         assert not re.search(word, text), word
-
-
-def test_broadcasts_are_checked(spark):
-    from creditloom.session import broadcast_checked
-
-    assert broadcast_checked(spark.range(5), 5).count() == 5
-    with pytest.raises(Exception, match="more than 4 rows"):
-        broadcast_checked(spark.range(5), 4).count()
