@@ -286,7 +286,7 @@ def _fixed(expr: str, digits: int) -> str:
 _factor_text = f"""CASE WHEN impact > 0 THEN {_q(X.FACTOR_RAISES)} ELSE {_q(X.FACTOR_LOWERS)} END || feature || ': '
   || CASE WHEN impact < 0 THEN '-' ELSE '+' END || {_fixed("abs(impact)", 3)}"""
 _warning_prefix = X.WARNING_LINE.split("%s")[0]
-_report_head = "\n".join(X.REPORT_LINES).replace("%%", "%").split("%s")
+_report_head = X.REPORT.replace("%%", "%").split("%s")
 REPORT_TEXT = " || ".join([
     _nl(_report_head[0]),
     f"coalesce(nullif(array_to_string(list_transform(warnings, lambda w: {_q(_warning_prefix)} || w), chr(10)), ''), {_q(X.NO_WARNINGS)})",
@@ -317,10 +317,12 @@ def _add(name: str, ctes: str, select: str) -> None:
 # --- A ----------------------------------------------------------------------------------
 
 _add("a1_applicant_csv_scan", APPLICANTS, "SELECT *, false AS is_bad FROM applicants")
+_add("a1_scan_report", APPLICANTS, f"SELECT count(*) AS n_rows, 0 AS n_bad, {2 + len(X.BASE_COLUMNS)} AS n_columns FROM applicants")
 for _name in ("a2_column_rename", "a3_attach_label", "a4_csv_sink", "d13_wide_history"):
     _add(_name, APPLICANTS, "SELECT * FROM applicants")
 _add("a5_read_by_extension", "", "SELECT *, 'parquet' AS kind FROM labels UNION ALL SELECT *, 'csv' AS kind FROM labels")
 _add("a6_front_matter_cut", CORPUS, "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM corpus")
+_add("a6_corpus_files", CORPUS, """SELECT length(text) + 1 AS n_chars, md5(text || chr(10)) AS digest FROM corpus""")
 _add("a7_chunk_store", CHUNKS, f"SELECT doc_id, ord, part, id, section, md5(text) AS digest, {_q(X.CITATION)} AS source FROM chunks")
 
 LOGGED = f"""{ASKED},
@@ -460,7 +462,10 @@ _add("e1_stratified_split", _SPLIT, "SELECT applicant_id, target, split FROM par
 _add("e1_label_split", _split("labels", "doc_id", "quality"), "SELECT doc_id, quality, split FROM parts")
 _add("e2_split_report", _SPLIT, "SELECT split, count(*) AS n, round(sum(target) / count(*) * 100, 1) AS default_pct FROM parts GROUP BY split")
 _add("e3_stratified_folds", _SPLIT, "SELECT applicant_id, target, fold FROM parts")
-_add("f3_fold_coverage", _SPLIT.replace("% 5 AS INT", "% 2 AS INT"), "SELECT applicant_id, target, fold FROM parts")
+_add("f3_fold_coverage", _SPLIT, "SELECT applicant_id, target, fold FROM parts")
+_add("f1_decisions", _SPLIT, "SELECT applicant_id, target, true AS decided FROM parts WHERE split = 'test'")
+_add("f2_fold_sizes", _SPLIT, """SELECT CAST(trial AS INT) AS trial, fold, count(*) FILTER (target = 1) AS positives,
+  count(*) FILTER (target = 0) AS negatives, true AS has_auc, 9 AS n_inside FROM parts, range(3) AS trials(trial) GROUP BY trial, fold""")
 _add("f11_bundle_round_trip", APPLICANTS, "SELECT count(*) AS n_applicants, 0 AS n_different, 0.55e0 AS threshold FROM applicants")
 _add("g1_contributions_add_up", APPLICANTS, "SELECT count(*) AS n_applicants, 0 AS n_off FROM applicants")
 _add("e4_class_weight", APPLICANTS, """SELECT count(*) FILTER (target = 0) AS negatives, count(*) FILTER (target = 1) AS positives,
@@ -609,3 +614,32 @@ UNION ALL SELECT 'rate_by_sex', CAST(SEX AS VARCHAR), default_rate_pct FROM ({_r
 UNION ALL SELECT 'rate_by_education', CAST(EDUCATION AS VARCHAR), default_rate_pct FROM ({_rate("EDUCATION")})
 UNION ALL SELECT 'rate_by_status', CAST(PAY_0 AS VARCHAR), default_rate_pct FROM ({_rate("PAY_0")})
 UNION ALL SELECT 'correlation', col_a || '/' || col_b, corr FROM correlations""")
+
+_add("j1_citation_check", UNDERWRITTEN, f"""SELECT applicant_id, len(missing) = 0 AS supported, array_to_string(missing, '; ') AS unsupported
+FROM (SELECT applicant_id, list_sort(list_filter(list_distinct(regexp_extract_all(upper(final_report), {_head})), lambda c: NOT list_contains(
+  list_transform(sources, lambda s: regexp_replace(upper(s), ' \\(PART [0-9]+\\)$', '')), c))) AS missing FROM underwritten)""")
+_add("j1_underwriting_by_model", ASKED, f"""SELECT applicant_id, array_to_string(warnings, '; ') AS data_warnings, {_cols(X.ENGINEERED_COLUMNS)},
+  true AS decided, true AS adds_up, 5 AS n_factors, true AS answered FROM asked""")
+_add("j2_streaming_by_model", APPLICANTS, """SELECT applicant_id AS id, applicant_id, true AS decided,
+  'requests-' || applicant_id % 2 AS batch_id, 5 AS n_factors FROM applicants""")
+_add("j6_training_job", f"{FEATURES}, {_split('(SELECT * FROM features WHERE LIMIT_BAL <> 0)', 'applicant_id', 'target')}, train AS ("
+     "SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(applicant_id || ':42'), applicant_id) - 1 AS nth FROM parts WHERE split = 'train')",
+     """SELECT applicant_id, target, split, CAST(nth % 5 AS INT) AS fold, true AS decided FROM train
+UNION ALL SELECT applicant_id, target, split, NULL, true FROM parts WHERE split = 'test'""")
+_add("j7_explain_job", f"{FEATURES}, {_split('features', 'applicant_id', 'target')}", f"""SELECT applicant_id, feature, value FROM (
+  SELECT applicant_id, unnest([{", ".join(_q(c) for c in X.FEATURE_COLUMNS)}]) AS feature,
+    unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in X.FEATURE_COLUMNS)}]) AS value
+  FROM features JOIN parts USING (applicant_id, target) WHERE split = 'test')""")
+_add("j8_question_job", f"""{CHUNKS}, {TITLE_QUESTIONS}, {_nearest("questions", 3)},
+wanted AS (SELECT question_id, lower({_strip("question")}) AS piece FROM questions),
+matched AS (SELECT question_id, doc_id, ord, part, section, text,
+  row_number() OVER (PARTITION BY question_id ORDER BY doc_id, ord, part) AS nth
+  FROM wanted JOIN chunks ON contains(lower(section), piece) WHERE piece <> ''),
+results AS (SELECT question_id, CAST(0 AS BIGINT) AS rank, doc_id, ord, part, section, text FROM matched WHERE nth = 1
+  UNION ALL SELECT question_id, rank, doc_id, ord, part, section, text FROM near JOIN chunks USING (doc_id, ord, part)),
+{_answers("results")}""", """SELECT question_id, length(context) AS n_chars, md5(context) AS digest, array_to_string(sources, '; ') AS sources
+FROM answers JOIN sources USING (question_id)""")
+_add("b12_sample_rows", APPLICANTS, f"""SELECT row, column_name, value FROM (
+  SELECT row, unnest([{", ".join(_q(c) for c in [*X.BASE_COLUMNS, X.TARGET])}]) AS column_name,
+    unnest([{", ".join(f"CAST({c} AS VARCHAR)" for c in [*X.BASE_COLUMNS, X.TARGET])}]) AS value
+  FROM (SELECT *, CAST(row_number() OVER (ORDER BY applicant_id) AS INT) AS row FROM applicants) WHERE row <= 5)""")

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom import fixed as X
 from creditloom import schemas as S
-from creditloom.operators import clean, corpus, explain, features, metrics, model, profile, retrieve, split, vectors
+from creditloom.operators import boosting, clean, corpus, explain, features, metrics, model, profile, retrieve, split, tuning, vectors
 from creditloom.operators import score as scoring
-from creditloom.operators import tree_explain
 from creditloom.operators.nearest import nearest
 from creditloom.operators.report import memo_facts
-from creditloom.plans import billing, jobs
+from creditloom.plans import billing, jobs, training
 from creditloom.session import materialize, scratch_path
 from creditloom.sources import readers, writers
 from creditloom.streaming import requests as stream
@@ -65,6 +64,14 @@ def _(spark, sf_dir):
     return rows.withColumn("is_bad", F.col(S.CORRUPT).isNotNull()).drop(S.CORRUPT)
 
 
+@query("a1_scan_report")
+def _(spark, sf_dir):
+    """Rows, malformed rows and columns of the scan, told by the job that writes the rows on."""
+    rows, counted = readers.observed_scan(readers.read_applicants_csv(spark, _csv_round_trip(spark, sf_dir)))
+    rows.write.parquet(scratch_path(spark, "scanned"))
+    return spark.createDataFrame([(counted.get["rows"], counted.get["bad_rows"], len(rows.columns) - 1)], "n_rows long, n_bad long, n_columns int")
+
+
 @query("a2_column_rename")
 def _(spark, sf_dir):
     back = {name: code for code, name in readers.coded_names().items()}
@@ -96,6 +103,15 @@ def _(spark, sf_dir):
     return inputs.corpus(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+@query("a6_corpus_files")
+def _(spark, sf_dir):
+    """The documents as one text file each, read back without their front matter."""
+    folder = scratch_path(spark, "texts")
+    inputs.raw_corpus(spark, sf_dir).write.partitionBy("doc_id").text(folder)
+    files = readers.read_corpus(spark, f"{folder}/*")
+    return files.select(F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @query("a7_chunk_store")
 def _(spark, sf_dir):
     path = scratch_path(spark, "chunks")
@@ -111,20 +127,22 @@ def _(spark, sf_dir):
     return writers.read_metrics(spark, path)
 
 
-def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event of a user that is an applicant asks for a decision."""
+def _logged(spark: SparkSession, sf_dir: str) -> str:
+    """The log of one decision for each event of a user that is an applicant; one of its batches came twice."""
     asked = jobs.assess(billing.applicants(spark, sf_dir)).withColumns({
         "compliance_answer": F.lit(None).cast("string"), "compliance_sources": F.array().cast("array<string>")})
     events = readers.load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     joined = events.join(asked, F.col("user_id") == F.col(X.KEY))
+    entries = materialize(jobs.decision_log(joined, F.col("ts"), F.col("event_id")), "entries")
     path = scratch_path(spark, "decisions")
-    writers.append_decisions(jobs.decision_log(joined, F.col("ts"), F.col("event_id")), path)
-    return writers.read_decisions(spark, path)
+    for batch in (0, 1, 0):
+        writers.append_decisions(entries.filter(F.col("id") % 2 == batch), path, f"events-{batch}")
+    return path
 
 
 @query("a9_decision_log")
 def _(spark, sf_dir):
-    return _logged(spark, sf_dir).select(
+    return writers.read_decisions(spark, _logged(spark, sf_dir)).select(
         "id", "decided_at", F.col("decision_date").cast("string").alias("decision_date"), X.KEY,
         "risk_probability", "risk_decision", "compliance_question",
         F.col("applicant_data.utilization_ratio").alias("utilization_ratio"),
@@ -134,7 +152,7 @@ def _(spark, sf_dir):
 
 @query("a10_recent_decisions")
 def _(spark, sf_dir):
-    return writers.recent_decisions(_logged(spark, sf_dir))
+    return writers.recent_decisions(spark, _logged(spark, sf_dir))
 
 
 @query("a11_typed_requests")
@@ -173,6 +191,7 @@ _on_applicants("b10_rate_by_status", lambda df: profile.default_rate(df, "PAY_0"
 _on_applicants("b11_correlation", profile.correlation)
 _on_applicants("b12_dataset_summary", lambda df: profile.dataset_summary(
     materialize(df, "applicants"), [*X.BASE_COLUMNS, X.TARGET]))
+_on_applicants("b12_sample_rows", lambda df: profile.sample_rows(df, [*X.BASE_COLUMNS, X.TARGET]))
 
 
 # --- C: cleaning and validation --------------------------------------------------------
@@ -193,7 +212,7 @@ _on_applicants("c7_warning_counts", clean.warning_counts)
 # --- D: features --------------------------------------------------------------------------
 
 _on_applicants("d1_row_sum", lambda df: df.select(
-    X.KEY, features.row_sum(X.STATUS_COLUMNS).alias("status_sum"), features.total_billed().alias("billed")))
+    X.KEY, features.months_total(X.STATUS_COLUMNS).alias("status_sum"), features.total_billed().alias("billed")))
 _on_applicants("d2_avg_bill", lambda df: df.select(X.KEY, features.avg_bill_amt().alias("avg_bill_amt")))
 _on_applicants("d3_utilization", lambda df: df.select(
     X.KEY, features.utilization_ratio(None).alias("training"), features.utilization_ratio(0.0).alias("serving")))
@@ -233,33 +252,71 @@ def _(spark, sf_dir):
 
 # --- F: model ----------------------------------------------------------------------------------
 
-SMALL = {"maxIter": 5, "maxDepth": 4}  # trees and depth of the registered training runs
+def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and row weights, written once."""
+    return materialize(model.with_class_weight(materialize(inputs.features(spark, sf_dir), "features")), "training")
 
 
-def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written once: boosting reads it many times."""
-    return materialize(inputs.features(spark, sf_dir), "training")
+def _decided(scored: DataFrame, threshold: float) -> Column:
+    """Whether the score is a probability and the decision is what the threshold makes of it."""
+    rule = F.when(F.col("risk_probability") >= F.lit(threshold), X.REJECT).otherwise(X.APPROVE)
+    return F.col("risk_probability").between(0, 1) & (F.col("risk_decision") == rule)
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = materialize(split.stratified_split(materialize(inputs.features(spark, sf_dir), "features")), "parts")
+    weighted = materialize(model.with_class_weight(table.filter(F.col("split") == split.TRAIN)), "training")
+    fitted = boosting.train(weighted, weight=model.WEIGHT)
+    return tuning.score(table.filter(F.col("split") == split.TEST), tuning.Bundle(fitted, X.DEFAULT_THRESHOLD))
 
 
 @query("f1_train_boosted_trees")
 def _(spark, sf_dir):
-    table = materialize(split.stratified_split(inputs.features(spark, sf_dir)), "training")
-    fitted = model.train(table.filter(F.col("split") == split.TRAIN), **SMALL)
-    return model.predict(fitted, table.filter(F.col("split") == split.TEST)).select(
-        X.KEY, X.TARGET, "risk_probability", "risk_decision")
+    return _held_out(spark, sf_dir).select(X.KEY, X.TARGET, "risk_probability", "risk_decision")
+
+
+@query("f1_decisions")
+def _(spark, sf_dir):
+    """Each row of the test part has a score, and the decision that goes with it."""
+    scored = _held_out(spark, sf_dir)
+    return scored.select(X.KEY, X.TARGET, _decided(scored, X.DEFAULT_THRESHOLD).alias("decided"))
+
+
+#: Trees of the registered search; the library's range is X.SEARCH_TREES. See README for what it costs.
+SEARCH = {"n": 3, "trees": (5, 10)}
 
 
 @query("f2_search")
 def _(spark, sf_dir):
-    table = _training_table(spark, sf_dir)
-    best, trials = model.search(table, n=2, k=2, trees=(2, 4), depth=(2, 3))
-    return model.search_report(spark, best, trials)
+    return tuning.search(_training_table(spark, sf_dir), **SEARCH).report()
+
+
+@query("f2_fold_sizes")
+def _(spark, sf_dir):
+    """What each trial's folds were scored on, and that all nine parameters lie in their ranges."""
+    found = tuning.search(_training_table(spark, sf_dir), **SEARCH)
+    limits = [
+        ("trees", *SEARCH["trees"]), ("depth", *X.SEARCH_DEPTH), ("rate", *X.SEARCH_RATE), ("subsample", *X.SEARCH_SUBSAMPLE),
+        ("columns", *X.SEARCH_COLUMN_SAMPLE), ("child_weight", *X.SEARCH_MIN_CHILD), ("gamma", *X.SEARCH_MIN_GAIN),
+        ("l1", *X.SEARCH_L1), ("l2", *X.SEARCH_L2)]
+    inside = sum(F.col("params")[name].cast("double").between(low, high).cast("int") for name, low, high in limits)
+    return found.aucs.join(found.report(), "trial").select(
+        "trial", "fold", "positives", "negatives", F.col("roc_auc").between(0, 1).alias("has_auc"), inside.alias("n_inside"))
+
+
+def _out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.out_of_fold(_training_table(spark, sf_dir))
 
 
 @query("f3_out_of_fold")
 def _(spark, sf_dir):
-    return model.out_of_fold(_training_table(spark, sf_dir), k=3, maxIter=3, maxDepth=3).select(
-        X.KEY, X.TARGET, "fold", "risk_probability")
+    return _out_of_fold(spark, sf_dir).select(X.KEY, X.TARGET, "fold", "risk_probability")
+
+
+@query("f3_fold_coverage")
+def _(spark, sf_dir):
+    """Which row was scored in which fold: each exactly once."""
+    return _out_of_fold(spark, sf_dir).filter(F.col("risk_probability").between(0, 1)).select(X.KEY, X.TARGET, "fold")
 
 
 _on_features("f4_score_and_decide", lambda df: scoring.score(df).select(X.KEY, "risk_probability", "risk_decision"))
@@ -272,43 +329,46 @@ _on_scores("f9_roc_auc", metrics.roc_auc)
 _on_scores("f10_naive_baseline", metrics.naive_baseline)
 
 
-@query("f11_model_bundle")
-def _(spark, sf_dir):
-    table, path = _training_table(spark, sf_dir), scratch_path(spark, "bundle")
-    model.save_bundle(model.train(table, maxIter=2, maxDepth=3), X.FALLBACK_THRESHOLD, path)
+def _bundle(spark: SparkSession, table: DataFrame) -> tuple[boosting.Boosted, str]:
+    """A trained model, saved with one threshold and then given another."""
+    fitted, path = boosting.train(table, weight=model.WEIGHT), scratch_path(spark, "bundle")
+    tuning.save_bundle(spark, fitted, X.FALLBACK_THRESHOLD, path)
     model.set_threshold(spark, X.DEFAULT_THRESHOLD, path)
-    loaded, threshold = model.load_bundle(spark, path)
-    return model.predict(loaded, table, threshold).select(X.KEY, "risk_probability", "risk_decision")
+    return fitted, path
 
 
-@query("f3_fold_coverage")
+@query("f11_model_bundle")
 def _(spark, sf_dir):
-    """Which row was scored in which fold: each exactly once."""
-    scored = model.out_of_fold(_training_table(spark, sf_dir), k=2, maxIter=1, maxDepth=2)
-    return scored.filter(F.col("risk_probability").between(0, 1)).select(X.KEY, X.TARGET, "fold")
+    table = _training_table(spark, sf_dir)
+    _, path = _bundle(spark, table)
+    return tuning.score(table, tuning.load_bundle(spark, path)).select(X.KEY, "risk_probability", "risk_decision")
 
 
 @query("f11_bundle_round_trip")
 def _(spark, sf_dir):
     """A saved and loaded model scores like the one in memory; the new threshold is in force."""
-    table, path = _training_table(spark, sf_dir), scratch_path(spark, "bundle")
-    fitted = model.train(table, maxIter=2, maxDepth=3)
-    model.save_bundle(fitted, X.FALLBACK_THRESHOLD, path)
-    model.set_threshold(spark, X.DEFAULT_THRESHOLD, path)
-    loaded, threshold = model.load_bundle(spark, path)
-    before = model.predict(fitted, table).select(X.KEY, F.col("risk_probability").alias("before"))
-    after = model.predict(loaded, table, threshold).select(X.KEY, F.col("risk_probability").alias("after"))
+    table = _training_table(spark, sf_dir)
+    fitted, path = _bundle(spark, table)
+    loaded = tuning.load_bundle(spark, path)
+    before = tuning.score(table, tuning.Bundle(fitted, X.FALLBACK_THRESHOLD)).select(X.KEY, F.col("risk_probability").alias("before"))
+    after = tuning.score(table, loaded).select(X.KEY, F.col("risk_probability").alias("after"))
     return before.join(after, X.KEY).agg(
         F.count(F.lit(1)).alias("n_applicants"), F.count_if(F.col("before") != F.col("after")).alias("n_different"),
-    ).withColumn("threshold", F.lit(threshold))
+    ).withColumn("threshold", F.lit(loaded.threshold))
 
 
 # --- G: attribution ----------------------------------------------------------------------------------
 
 def _tree_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _training_table(spark, sf_dir)
-    fitted = model.train(table, **SMALL)
-    return tree_explain.tree_contributions(model.predict(fitted, table), tree_explain.model_trees(fitted))
+    bundle = tuning.Bundle(boosting.train(table, weight=model.WEIGHT), X.DEFAULT_THRESHOLD)
+    return tuning.contributions(tuning.score(table, bundle), bundle)
+
+
+def _off() -> Column:
+    """Whether base value and contributions miss the log-odds of the score."""
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["impact"])
+    return F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-total)) - F.col("risk_probability")) > 1e-4
 
 
 @query("g1_tree_contributions")
@@ -319,12 +379,7 @@ def _(spark, sf_dir):
 @query("g1_contributions_add_up")
 def _(spark, sf_dir):
     """Base value plus contributions are the log-odds of every score."""
-    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["impact"])
-    implied = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
-    return _tree_explained(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("n_applicants"),
-        F.count_if(F.abs(implied - F.col("risk_probability")) > 1e-4).alias("n_off"),
-    )
+    return _tree_explained(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_applicants"), F.count_if(_off()).alias("n_off"))
 
 
 _on_contributions("g2_linear_contributions", explain.contribution_rows)
@@ -516,15 +571,39 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["j1_portfolio_underwriting"] = flagship
 
 
-@query("j2_streaming_underwriting")
+@query("j1_citation_check")
 def _(spark, sf_dir):
+    """Regulations that a report cites and its sources do not have."""
+    return _underwritten(spark, sf_dir).select(
+        X.KEY, (F.size("unsupported") == 0).alias("supported"), F.array_join(F.array_sort("unsupported"), "; ").alias("unsupported"))
+
+
+@query("j1_underwriting_by_model")
+def _(spark, sf_dir):
+    """The same job with a trained bundle: every decision is the rule's, every attribution adds up."""
     people = materialize(billing.applicants(spark, sf_dir), "applicants")
-    arriving = people.select(
+    _, path = _bundle(spark, _training_table(spark, sf_dir))
+    bundle = tuning.load_bundle(spark, path)
+    store = jobs.scratch_store(inputs.corpus(spark, sf_dir))
+    decided = jobs.underwrite(people, store, bundle)
+    return decided.select(
+        X.KEY, F.array_join("data_warnings", "; ").alias("data_warnings"), *X.ENGINEERED_COLUMNS,
+        _decided(decided, X.DEFAULT_THRESHOLD).alias("decided"), (~_off()).alias("adds_up"),
+        F.size("top_risk_factors").alias("n_factors"), (F.size("compliance_sources") > 0).alias("answered"))
+
+
+def _arriving(spark: SparkSession, people: DataFrame, folder: str, half: int | None = None) -> None:
+    rows = people if half is None else people.filter(F.col(X.KEY) % 2 == half)
+    rows.select(
         F.col(X.KEY).alias("request_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("request_ts"),
-        X.KEY, *X.BASE_COLUMNS)
-    folder = scratch_path(spark, "requests")
-    arriving.repartition(3, X.KEY).write.parquet(folder)
-    log = scratch_path(spark, "stream-log")
+        X.KEY, *X.BASE_COLUMNS).repartition(3, X.KEY).write.mode("append").parquet(folder)
+
+
+@query("j2_streaming_underwriting")
+def _(spark, sf_dir):
+    people = materialize(billing.applicants(spark, sf_dir), "applicants")
+    folder, log = scratch_path(spark, "requests"), scratch_path(spark, "stream-log")
+    _arriving(spark, people, folder)
     running = stream.underwrite_stream(
         stream.read_requests(spark, folder), jobs.scratch_store(inputs.corpus(spark, sf_dir)), log,
         scratch_path(spark, "stream-checkpoint"), jobs.portfolio_means(people))
@@ -534,6 +613,26 @@ def _(spark, sf_dir):
         F.array_join("compliance_sources", "; ").alias("compliance_sources"))
 
 
+@query("j2_streaming_by_model")
+def _(spark, sf_dir):
+    """A stream with a saved model. The threshold is replaced between two batches and holds for the second."""
+    people = materialize(billing.applicants(spark, sf_dir), "applicants")
+    fitted, path = boosting.train(_training_table(spark, sf_dir), weight=model.WEIGHT), scratch_path(spark, "bundle")
+    tuning.save_bundle(spark, fitted, X.FALLBACK_THRESHOLD, path)
+    folder, log, seen = (scratch_path(spark, name) for name in ("requests", "stream-log", "stream-checkpoint"))
+    store = jobs.scratch_store(inputs.corpus(spark, sf_dir))
+    thresholds = (X.FALLBACK_THRESHOLD, X.DEFAULT_THRESHOLD)
+    for half, threshold in enumerate(thresholds):
+        if half:
+            model.set_threshold(spark, threshold, path)
+        _arriving(spark, people, folder, half)
+        stream.underwrite_stream(
+            stream.read_requests(spark, folder), store, log, seen, bundle_path=path).awaitTermination()
+    entries = stream.read_log(spark, log)
+    right = [F.when(F.col(X.KEY) % 2 == half, _decided(entries, threshold)) for half, threshold in enumerate(thresholds)]
+    return entries.select("id", X.KEY, F.coalesce(*right).alias("decided"), F.col("batch_id"), F.size("top_risk_factors").alias("n_factors"))
+
+
 @query("j3_feature_job")
 def _(spark, sf_dir):
     path = scratch_path(spark, "features")
@@ -553,3 +652,34 @@ def _(spark, sf_dir):
 @query("j5_profile_job")
 def _(spark, sf_dir):
     return jobs.profile_summary(jobs.profile_job(materialize(billing.applicants(spark, sf_dir), "applicants")))
+
+
+@query("j6_training_job")
+def _(spark, sf_dir):
+    """Class weight, threshold, final model, metrics and bundle from the written feature table, at the library's parameters."""
+    path = scratch_path(spark, "features")
+    jobs.feature_job(billing.applicants(spark, sf_dir).filter("LIMIT_BAL <> 0"), path)
+    trained = training.training_job(spark.read.parquet(path), scratch_path(spark, "model"), boosting.Params())
+    scored = F.col("risk_probability").between(0, 1)
+    part = F.lit(split.TRAIN)
+    held = trained.held_out
+    return trained.out_of_fold.select(X.KEY, X.TARGET, part.alias("split"), "fold", scored.alias("decided")).unionByName(
+        held.select(X.KEY, X.TARGET, F.lit(split.TEST).alias("split"), F.lit(None).cast("int").alias("fold"),
+                    _decided(held, trained.bundle.threshold).alias("decided")))
+
+
+@query("j7_explain_job")
+def _(spark, sf_dir):
+    """Attribution of the test part by the trained model: one row per applicant and feature, told by what it does."""
+    table = materialize(split.stratified_split(materialize(inputs.features(spark, sf_dir), "features")), "parts")
+    weighted = materialize(model.with_class_weight(table.filter(F.col("split") == split.TRAIN)), "training")
+    bundle = tuning.Bundle(boosting.train(weighted, weight=model.WEIGHT), X.DEFAULT_THRESHOLD)
+    told = training.explain_job(table.filter(F.col("split") == split.TEST), bundle)
+    return told["points"].select(X.KEY, "feature", "value")
+
+
+@query("j8_question_job")
+def _(spark, sf_dir):
+    found = jobs.question_job(inputs.title_questions(spark, sf_dir), jobs.scratch_store(inputs.corpus(spark, sf_dir)))
+    return found.select("question_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"),
+                        F.array_join("sources", "; ").alias("sources"))

@@ -9,11 +9,13 @@ from .. import fixed as X
 from .. import schemas as S
 from ..functions.text import strip
 from ..session import materialize
-from .nearest import nearest
+from .nearest import Index, index_store, nearest
 from .vectors import with_counts
 
 QUESTION = "question_id"
 ROUTE_EXACT, ROUTE_NEAREST, ROUTE_TITLE = "exact", "nearest", "title"
+UNDECIDED = "undecided"
+GRAM = 3  # characters of an entry in the index of titles
 
 
 def requested_regulation(question: Column) -> dict[str, Column]:
@@ -57,10 +59,16 @@ def attach_chunks(found: DataFrame, chunks: DataFrame, route: str = ROUTE_NEARES
         QUESTION, "rank", *S.CHUNK_KEY, "section", "text", "distance", F.lit(route).alias("route"))
 
 
-def nearest_chunks(questions: DataFrame, store: DataFrame, k: int = X.TOP_K) -> DataFrame:
-    """(question_id, rank, chunk key, distance). The store brings its `counts`."""
+def chunk_index(store: DataFrame, k: int = X.TOP_K) -> Index:
+    """The store's `counts`, ready for any number of searches."""
+    return index_store(store, k, store_key=S.CHUNK_KEY)
+
+
+def nearest_chunks(questions: DataFrame, store: DataFrame | Index, k: int = X.TOP_K) -> DataFrame:
+    """(question_id, rank, chunk key, distance). The store brings its `counts`, or is given as an index."""
     asked = with_counts(questions.select(QUESTION, "question"), "question")
-    return nearest(asked, store, k, question_key=QUESTION, store_key=S.CHUNK_KEY)
+    index = store if isinstance(store, Index) else chunk_index(store, k)
+    return nearest(asked, index, k, question_key=QUESTION)
 
 
 def regulation_table(chunks: DataFrame) -> DataFrame:
@@ -68,33 +76,51 @@ def regulation_table(chunks: DataFrame) -> DataFrame:
     return materialize(regulation_parts(chunks), "regulations")
 
 
-def hybrid(questions: DataFrame, store: DataFrame, k: int = X.TOP_K, parts: DataFrame | None = None) -> DataFrame:
-    """Exact where a named regulation is in the store, nearest for all other questions."""
+def hybrid(
+    questions: DataFrame, store: DataFrame, k: int = X.TOP_K, parts: DataFrame | None = None, index: Index | None = None,
+) -> DataFrame:
+    """Exact where a named regulation is in the store, nearest for all other questions.
+
+    `parts` and `index` are the regulation table and the index of the store, for callers that come back.
+    """
     parts = regulation_table(store) if parts is None else parts
     requested = questions.withColumns(requested_regulation(F.col("question")))
     others = requested.join(parts, ["letter", "number"], "left_anti")
-    near = attach_chunks(nearest_chunks(others, store, k), store)
+    near = attach_chunks(nearest_chunks(others, store if index is None else index, k), store)
     return exact_lookup(questions, parts).unionByName(near)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The different pieces of `size` characters of a text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
+    return F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda at: F.substring(text, at, F.lit(size))))
+
+
 def title_match(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """First chunk whose section contains the whole question, as rank 0 at distance 0.
 
-    "Contains" becomes an equality: the few distinct section titles are spelled
-    out into their substrings, and questions join on equal text. Blank questions
-    match nothing.
+    An inverted list leads from pieces of GRAM characters to the distinct titles
+    that have them, one entry per piece and title. A question looks into the list
+    of its rarest piece only, and what stands there is compared with the whole
+    question; one shorter than GRAM is a piece itself. Equal questions are looked
+    up once. Blank questions match nothing.
     """
-    key = F.struct(*S.CHUNK_KEY)
-    titles = chunks.groupBy(F.lower("section").alias("title")).agg(F.min(key).alias("first"))
-    length = F.length("title")
-    starts = titles.select("title", "first", F.explode(F.sequence(F.lit(1), length)).alias("start"))
-    pieces = starts.select("first", F.explode(F.transform(
-        F.sequence(F.lit(1), length - F.col("start") + 1),
-        lambda n: F.substring(F.col("title"), F.col("start"), n),
-    )).alias("piece"))
-    by_piece = pieces.groupBy("piece").agg(F.min("first").alias("first"))
+    titles = materialize(chunks.groupBy(F.lower("section").alias("title")).agg(F.min(F.struct(*S.CHUNK_KEY)).alias("first")), "titles")
+    every = F.flatten(F.array(*[_grams(F.col("title"), size) for size in range(1, GRAM + 1)]))
+    lists = materialize(titles.select("title", "first", F.explode(every).alias("gram")), "title-grams")
+    sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     asked = questions.select(QUESTION, F.lower(strip(F.col("question"))).alias("piece")).filter("piece <> ''")
-    found = asked.join(by_piece, "piece").select(QUESTION, F.lit(0).alias("rank"), "first.*", F.lit(0.0).alias("distance"))
+    # What is longer than every title is in none.
+    longest = titles.agg(F.max(F.length("title"))).scalar()
+    pieces = asked.filter(F.length("piece") <= longest).select("piece").distinct()
+    piece = F.col("piece")
+    own = F.when(F.length(piece) <= GRAM, F.array(piece)).otherwise(_grams(piece, GRAM))
+    met = pieces.select("piece", F.size(own).alias("grams"), F.explode(own).alias("gram")).join(sizes, "gram")
+    # A piece that no title has is in no list: then the question is in no title.
+    rarest = met.groupBy("piece", "grams").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "gram")).alias("rare")).filter(
+        F.col("known") == F.col("grams")).select("piece", F.col("rare.gram").alias("gram"))
+    matched = rarest.join(lists, "gram").filter(F.contains("title", "piece")).groupBy("piece").agg(F.min("first").alias("first"))
+    found = asked.join(matched, "piece").select(QUESTION, F.lit(0).alias("rank"), "first.*", F.lit(0.0).alias("distance"))
     return attach_chunks(found, chunks, ROUTE_TITLE)
 
 
@@ -132,7 +158,7 @@ def plain_number(value: Column) -> Column:
 def applicant_question(given: Column | None = None) -> Column:
     """Aggregate cap, then clean cap, then the given question, then the template."""
     template = F.format_string(
-        X.QUESTION_TEMPLATE, F.lower("risk_decision"),
+        X.QUESTION_TEMPLATE, F.coalesce(F.lower("risk_decision"), F.lit(UNDECIDED)),
         F.coalesce(plain_number(F.col("LIMIT_BAL")), F.lit("N/A")),
     )
     if given is not None:

@@ -1,12 +1,16 @@
 """Hashed bag-of-words vectors.
 
-Words become bucket numbers inside the JVM; counting them into a dense array is
-one NumPy call per Arrow batch, so a text never leaves its row and nothing is
-shuffled. The hash is md5, the same in every process and engine.
+The words of an Arrow batch are hashed once each and counted into dense arrays by
+one NumPy call, so a text never leaves its row and nothing is shuffled. The hash
+is md5, the same in every process and engine.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,20 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed as X
-from ..functions.text import words
-
 
-def word_buckets(text: Column, size: int = X.VECTOR_SIZE) -> Column:
-    def bucket(word: Column) -> Column:
-        return (F.conv(F.left(F.md5(word), F.lit(8)), 16, 10).cast("bigint") % size).cast("int")
+WORDS_HELD = 200_000  # distinct words a task remembers before it starts afresh
+TEXTS = 500  # of a batch, split into words at a time
 
-    return F.transform(words(text), bucket)
 
-
-def _rows_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and value of every list element."""
-    lengths = np.diff(lists.offsets.to_numpy())
-    return np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False)
+def _bucket(word: str, size: int) -> int:
+    return int.from_bytes(md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big") % size
 
 
 def _as_lists(matrix: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -36,20 +33,30 @@ def _as_lists(matrix: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(matrix.reshape(-1), type=kind))
 
 
-def dense_counts(buckets: Column, size: int = X.VECTOR_SIZE) -> Column:
-    """array<int> of length `size`: how often each bucket occurs."""
+def hashed_counts(text: Column, size: int = X.VECTOR_SIZE) -> Column:
+    """array<int> of length `size`: how many words of each bucket a text has; none for a null text."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def count(lists: pa.Array) -> pa.Array:
-        at, bucket = _rows_of(lists)
-        flat = np.bincount(at * size + bucket, minlength=len(lists) * size)
-        return _as_lists(flat.reshape(len(lists), size).astype(np.int32), pa.int32())
-
-    return count(buckets)
-
-
-def hashed_counts(text: Column, size: int = X.VECTOR_SIZE) -> Column:
-    return dense_counts(word_buckets(F.coalesce(text, F.lit("")), size), size)
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            parts = []
+            for at in range(0, len(batch), TEXTS):
+                words = [text.split() for text in batch.slice(at, TEXTS).to_pylist()]
+                every = list(chain.from_iterable(words))
+                new = set(every).difference(known)
+                if len(known) + len(new) > WORDS_HELD:
+                    known.clear()
+                    new = set(every)
+                known.update((word, _bucket(word, size)) for word in new)
+                rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
+                buckets = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+                flat = np.bincount(rows * size + buckets, minlength=len(words) * size)
+                parts.append(flat.reshape(len(words), size).astype(np.int32))
+            yield _as_lists(np.concatenate(parts) if parts else np.zeros((0, size), np.int32), pa.int32())
+
+    # In lower case by the JVM, as in SQL; what splits words in Python is what `strip` cuts.
+    return count(F.coalesce(F.lower(text), F.lit("")))
 
 
 def unit(counts: Column, size: int = X.VECTOR_SIZE) -> Column:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed as X
 from .. import schemas as S
-from ..operators import clean, explain, features, profile, retrieve, split
+from ..operators import clean, explain, features, profile, retrieve, split, tuning
 from ..operators.corpus import chunk
+from ..operators.nearest import Index
 from ..operators.report import memo_facts, report
 from ..operators.score import DELAY_SCORECARD, Scorecard, score
+from ..operators.tuning import Bundle
 from ..operators.vectors import with_counts
 from ..session import materialize, scratch_path
 
@@ -26,16 +28,26 @@ def feature_table(applicants: DataFrame, empty_limit: float | None = None) -> Da
     return features.final_columns(features.add_features(clean.recode(applicants), empty_limit))
 
 
-def feature_job(applicants: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Feature table with its train and test part in separate folders."""
-    split.stratified_split(feature_table(applicants)).write.mode(mode).partitionBy("split").parquet(path)
+def feature_job(applicants: DataFrame, path: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Feature table with its train and test part in separate folders; tells its rows and columns.
+
+    The features are worked out and written once, and counted by that same job;
+    the split reads them back.
+    """
+    counted = Observation("features")
+    features_once = feature_table(applicants).observe(counted, F.count(F.lit(1)).alias("rows"))
+    table = materialize(features_once, "features")
+    split.stratified_split(table).write.mode(mode).partitionBy("split").parquet(path)
+    return {**counted.get, "columns": len(table.columns)}
 
 
 # --- Corpus ----------------------------------------------------------------------
 
 def chunk_store(documents: DataFrame) -> DataFrame:
-    """Chunks with their word counts."""
-    return with_counts(chunk(documents))
+    """Chunks with their word counts. Texts are dealt out first: cutting and counting them is the work, and a file
+    of one row group would be one task."""
+    dealt = documents.select("doc_id", "text").repartition("doc_id", F.xxhash64("text"))
+    return with_counts(chunk(dealt))
 
 
 def corpus_job(documents: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
@@ -94,14 +106,20 @@ def profile_summary(reports: Mapping[str, DataFrame]) -> DataFrame:
 # --- Underwriting --------------------------------------------------------------------
 
 def assess(
-    applicants: DataFrame, card: Scorecard = DELAY_SCORECARD, means: Mapping[str, float] | None = None,
+    applicants: DataFrame, card: Scorecard | Bundle = DELAY_SCORECARD, means: Mapping[str, float] | None = None,
     given: Column | None = None,
 ) -> DataFrame:
     """Validate and flag the raw values, recode, engineer, score, attribute, ask. No join, no shuffle
-    apart from the one-row means, and none at all when those are given."""
-    checked = clean.recode(clean.validate(applicants))
-    scored = score(features.add_features(checked), card)
-    explained = explain.linear_contributions(scored, card, means)
+    apart from the one-row means of a card, and none at all when those are given.
+
+    A bundle scores and attributes by its trees, which travel with the tasks; an
+    applicant without one of the features gets neither score nor decision from it.
+    """
+    featured = features.add_features(clean.recode(clean.validate(applicants)))
+    if isinstance(card, Bundle):
+        explained = tuning.contributions(tuning.score(featured, card), card)
+    else:
+        explained = explain.linear_contributions(score(featured, card), card, means)
     return explained.withColumns({
         "top_risk_factors": explain.top_factors(F.col("contributions")),
         "compliance_question": retrieve.applicant_question(given),
@@ -109,15 +127,21 @@ def assess(
 
 
 def answer_questions(
-    questions: DataFrame, store: DataFrame, k: int = X.TOP_K, parts: DataFrame | None = None
+    questions: DataFrame, store: DataFrame, k: int = X.TOP_K, parts: DataFrame | None = None, index: Index | None = None,
 ) -> DataFrame:
     """(question_id, answer, sources): overview first, then exact, then nearest."""
     overview = retrieve.answer_overviews(questions, store)
     specific = questions.filter(~retrieve.is_overview(F.col("question")))
-    found = retrieve.answers(retrieve.hybrid(specific, store, k, parts)).withColumnRenamed("context", "answer")
+    found = retrieve.answers(retrieve.hybrid(specific, store, k, parts, index)).withColumnRenamed("context", "answer")
     return overview.unionByName(found)
 
 
+def question_job(questions: DataFrame, store: DataFrame, k: int = X.TOP_K, index: Index | None = None) -> DataFrame:
+    """(question_id, context, sources): the title match, where there is one, in front of the nearest chunks."""
+    near = retrieve.attach_chunks(retrieve.nearest_chunks(questions, store if index is None else index, k), store)
+    return retrieve.answers(retrieve.with_title_match(near, questions, store))
+
+
 def attach_answers(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers beside the applicants.
 
@@ -141,24 +165,26 @@ def attach_answers(asked: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def underwrite(
-    applicants: DataFrame, store: DataFrame, card: Scorecard = DELAY_SCORECARD, k: int = X.TOP_K,
+    applicants: DataFrame, store: DataFrame, card: Scorecard | Bundle = DELAY_SCORECARD, k: int = X.TOP_K,
     means: Mapping[str, float] | None = None, given: Column | None = None, parts: DataFrame | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """A decision, its reasons, the regulation it rests on and the report, for every applicant.
 
-    Equal questions are answered once. `parts` is the regulation table of the
-    store, for callers that come back with more applicants.
+    Equal questions are answered once. `parts` and `index` are the regulation
+    table and the index of the store, for callers that come back with more
+    applicants.
     """
     asked = assess(applicants, card, means, given)
     text = F.col("compliance_question")
     questions = asked.select(text.alias("question_id"), text.alias("question")).distinct()
-    answers = materialize(answer_questions(materialize(questions, "questions"), store, k, parts), "answers")
+    answers = materialize(answer_questions(materialize(questions, "questions"), store, k, parts, index), "answers")
     answered = attach_answers(asked, answers)
     parts = [F.col(c) for c in ("risk_decision", "risk_probability", "top_risk_factors", "compliance_answer")]
     return answered.withColumns({
         "final_report": report(F.col("data_warnings"), *parts, F.col("compliance_sources")),
         "memo_facts": memo_facts(*parts),
-    })
+    }).withColumn("unsupported", retrieve.unsupported_citations(F.col("final_report"), F.col("compliance_sources")))
 
 
 def portfolio_means(applicants: DataFrame, card: Scorecard = DELAY_SCORECARD) -> dict[str, float]:

@@ -39,3 +39,15 @@ METRICS = T.StructType(
     [T.StructField(c, T.DoubleType()) for c in ("accuracy", "precision", "recall", "f1_score", "roc_auc", "naive_baseline")]
 )
 STORE = T.StructType([*CHUNK.fields, T.StructField("counts", T.ArrayType(T.IntegerType()))])
+
+DECISION = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("decided_at", T.TimestampNTZType()), KEY_FIELD,
+    T.StructField("applicant_data", T.StructType([
+        *BASE_FIELDS, *[T.StructField(c, T.IntegerType() if c in X.WHOLE_FEATURES else T.DoubleType()) for c in X.ENGINEERED_COLUMNS]])),
+    T.StructField("risk_probability", T.DoubleType()), T.StructField("risk_decision", T.StringType()),
+    T.StructField("top_risk_factors", FACTORS), T.StructField("compliance_question", T.StringType()),
+    T.StructField("compliance_answer", T.StringType()), T.StructField("compliance_sources", T.ArrayType(T.StringType())),
+])
+LOG_FOLDERS = [T.StructField("decision_date", T.DateType()), T.StructField("batch_id", T.StringType())]
+LOG_DAYS = T.StructType([
+    T.StructField("n", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), *LOG_FOLDERS])

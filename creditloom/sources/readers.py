@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,13 @@ def read_applicants_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def observed_scan(df: DataFrame, corrupt: str = S.CORRUPT) -> tuple[DataFrame, Observation]:
+    """The scan, and what the first job on it will tell: `rows` and `bad_rows`. No scan of its own."""
+    counted = Observation("scan")
+    bad = F.count_if(F.col(corrupt).isNotNull()) if corrupt in df.columns else F.lit(0).cast("long")
+    return df.observe(counted, F.count(F.lit(1)).alias("rows"), bad.alias("bad_rows")), counted
+
+
 def coded_names() -> dict[str, str]:
     """X1..X23 in the public data set, in base column order."""
     return {f"X{at}": name for at, name in enumerate(X.BASE_COLUMNS, 1)}

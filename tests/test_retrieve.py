@@ -80,3 +80,21 @@ def test_citations(spark):
     ], "t string, s array<string>")
     got = [r["m"] for r in df.select(retrieve.unsupported_citations(F.col("t"), F.col("s")).alias("m")).collect()]
     assert got == [[], ["REGULATION R-1"], [], ["REGULATION  R-1"]]
+
+
+def test_titles_of_ten_thousand_characters(spark):
+    """Contained questions are found by their rarest piece, short ones too; the first chunk wins."""
+    long = "".join(chr(97 + (i * 7 + i // 26) % 26) for i in range(10_000)) + " é😀 end"
+    rows = [(2, 1, 0, long), (1, 1, 0, long), (3, 1, 0, "Regulation R-1 (Part 2)"), (4, 1, 0, "Regulation R-10"), (5, 1, 0, None)]
+    chunks = spark.createDataFrame([(d, o, p, s, "text") for d, o, p, s in rows], "doc_id long, ord int, part int, section string, text string")
+    asked = {"a": long[5000:5400], "b": "R-1", "c": " r-10 ", "d": "é😀", "e": "😀", "f": "zz not there", "g": "  ", "h": None, "i": long + "x", "j": "R-1 (p",
+             "k": long[5000:5400]}
+    questions = spark.createDataFrame(list(asked.items()), "question_id string, question string")
+    got = {r["question_id"]: r["doc_id"] for r in retrieve.title_match(questions, chunks).collect()}
+    want = {}
+    for key, text in asked.items():
+        piece = (text or "").strip().lower()
+        held = [d for d, _, _, s in rows if s and piece and piece in s.lower()]
+        if held:
+            want[key] = min(held)
+    assert got == want

@@ -1,7 +1,10 @@
 from tests.builders import applicant, table
+from datetime import datetime
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditloom import fixed as X
 from creditloom import schemas as S
@@ -75,16 +78,70 @@ def test_missing_fields(spark):
     assert [r["m"] for r in df.collect()] == [[], [], [], ["AGE"], [], X.BASE_COLUMNS, None]
 
 
+LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("decided_at", T.TimestampNTZType()),
+                    T.StructField("risk_decision", T.StringType()), T.StructField("risk_probability", T.DoubleType())])
+
+
+def decided(spark, first, last, step=1):
+    stamp = F.expr("make_timestamp_ntz(2024, 1, 1, 0, 0, 0) + make_dt_interval(cast(id / 10 as int))")
+    return spark.range(first, last, step).select(
+        "id", stamp.alias("decided_at"), F.lit("APPROVE").alias("risk_decision"), F.lit(0.5).alias("risk_probability"))
+
+
 def test_decision_log_appends_and_prunes(spark, tmp_path):
     path = str(tmp_path / "log")
-    row = "id long, decided_at timestamp_ntz, risk_decision string, risk_probability double"
-    stamp = F.expr("make_timestamp_ntz(2024, 1, 1, 0, 0, 0) + make_dt_interval(id)")
     for first in (0, 30):
-        entries = spark.range(first, first + 30).select("id", stamp.alias("decided_at"), F.lit("APPROVE").alias("risk_decision"),
-                                                        F.lit(0.5).alias("risk_probability"))
-        writers.append_decisions(spark.createDataFrame(entries.collect(), row), path)
-    log = writers.read_decisions(spark, path)
-    assert log.count() == 60
-    assert [r["id"] for r in writers.recent_decisions(log).collect()] == list(range(59, 39, -1))
+        writers.append_decisions(decided(spark, first, first + 30), path)
+    log = writers.read_decisions(spark, path, LOG)
+    assert log.count() == 60 and log.select("batch_id").distinct().count() == 2
     plan = log.filter("decision_date = DATE'2024-01-05'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(decision_date" in plan
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for name, first in (("s-0", 0), ("s-1", 25)):
+        writers.append_decisions(decided(spark, first, first + 25), path, name)
+    before = sorted(writers.read_decisions(spark, path, LOG).collect()), sorted(writers.read_days(spark, path).collect())
+    for name, first in (("s-1", 25), ("s-0", 0)):
+        writers.append_decisions(decided(spark, first, first + 25).repartition(3), path, name)
+    assert (sorted(writers.read_decisions(spark, path, LOG).collect()), sorted(writers.read_days(spark, path).collect())) == before
+    writers.append_decisions(decided(spark, 0, 0), path, "s-2")  # a batch without rows
+    assert writers.read_decisions(spark, path, LOG).count() == 50
+
+
+def test_the_newest_entries_are_read_from_their_days_only(spark, tmp_path):
+    path = str(tmp_path / "log")
+    writers.append_decisions(decided(spark, 0, 100), path)  # ten days of ten
+    assert [r["id"] for r in writers.recent_decisions(spark, path, 20, LOG).collect()] == list(range(99, 79, -1))
+    assert [d.day for d in writers.newest_days(spark, path, 20)] == [10, 9]
+    assert [d.day for d in writers.newest_days(spark, path, 15)] == [10, 9]
+    plan = writers.recent_decisions(spark, path, 15, LOG)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "decision_date" in plan.split("PartitionFilters: [")[1]
+    # Late entries: a large id on an early day is still found.
+    late = spark.createDataFrame([(500, datetime(2024, 1, 2), "REJECT", 0.9)], LOG)
+    writers.append_decisions(late, path)
+    assert [r["id"] for r in writers.recent_decisions(spark, path, 3, LOG).collect()] == [500, 99, 98]
+    assert writers.newest_days(spark, path, 1000) and writers.recent_decisions(spark, path, 1000, LOG).count() == 101
+
+
+def test_a_busy_day_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        one_day = spark.range(50_000).select("id", F.expr("make_timestamp_ntz(2024, 1, 1, 0, 0, 0)").alias("decided_at"),
+                                             F.md5(F.col("id").cast("string")).alias("risk_decision"), F.rand(1).alias("risk_probability"))
+        writers.append_decisions(one_day, path, "b")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list((tmp_path / "log/entries/decision_date=2024-01-01/batch_id=b").glob("part-*"))
+    assert len(files) > 1 and writers.read_decisions(spark, path, LOG).count() == 50_000
+
+
+def test_the_scan_reports_rows_and_bad_rows(spark, tmp_path):
+    people = table(spark, applicant(1), applicant(2))
+    writers.write_csv(people, str(tmp_path / "csv"))
+    (tmp_path / "csv" / "bad.csv").write_text(",".join(people.columns) + "\nx,y\n")
+    rows, counted = readers.observed_scan(readers.read_applicants_csv(spark, str(tmp_path / "csv")))
+    rows.write.parquet(str(tmp_path / "out"))
+    assert counted.get == {"rows": 3, "bad_rows": 1}
