@@ -49,3 +49,34 @@ def test_library_never_collects_data():
     text = "\n".join(p.read_text() for p in LIBRARY.rglob("*.py"))
     for word in (r"\.collect\(", r"toPandas\(", r"localCheckpoint", r"crossJoin\(", r"\.rdd\b", r"coalesce\(1\)\.write\.csv"):
         assert not re.search(word, text), word
+
+
+@pytest.mark.parametrize("name", ["h7_nearest_vectors", "h10_hybrid_route", "h15_title_match", "j1_portfolio_underwriting", "b12_dataset_summary"])
+def test_final_plans_have_no_nested_loops(spark, small, name):
+    """As they ran, after adaptive changes."""
+    df = QUERIES[name](spark, small)
+    assert df.count() > 0
+    df.write.format("noop").mode("overwrite").save()
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_the_feature_job_scans_its_input_once(spark, small, tmp_path, monkeypatch):
+    from creditloom.operators import split
+    from creditloom.plans import billing, jobs
+
+    seen, real = [], split.stratified_split
+    monkeypatch.setattr(jobs.split, "stratified_split", lambda df: seen.append(plan(df)) or real(df))
+    people = billing.applicants(spark, small)
+    assert "lineitem" in plan(people)
+    told = jobs.feature_job(people, str(tmp_path / "f"))
+    assert len(seen) == 1 and "lineitem" not in seen[0]
+    assert told == {"rows": spark.read.parquet(str(tmp_path / "f")).count(), "columns": 31}
+
+
+def test_the_split_reads_full_rows_once(spark, small):
+    from creditloom.operators import split
+    from creditloom.plans import billing
+
+    text = plan(split.stratified_split(billing.applicants(spark, small)))
+    assert text.count("lineitem.parquet") <= 1
