@@ -14,6 +14,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 ARROW_ROWS, ARROW_BYTES = "1000", "16m"  # of an Arrow batch, which the JVM and the worker both hold
 DOCS = 300  # texts of an Arrow batch turned into Python strings at a time
@@ -34,6 +35,13 @@ def bound_batches(spark: SparkSession, rows: str = ARROW_ROWS, size: str = ARROW
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors return what the work before has left in their heaps: a heap that has grown shrinks in a full collection only."""
+    tasks = spark.sparkContext.defaultParallelism
+    collected = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, tasks, 1, tasks).select(collected.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

@@ -34,7 +34,7 @@ def test_short_documents_with_a_language_stay(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     df, cursor = QUERIES[name](spark, SMALL), con.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]
