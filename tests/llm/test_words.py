@@ -8,7 +8,6 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from creditloom.llm import phrases, scan, variants
 
