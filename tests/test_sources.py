@@ -145,3 +145,16 @@ def test_the_scan_reports_rows_and_bad_rows(spark, tmp_path):
     rows, counted = readers.observed_scan(readers.read_applicants_csv(spark, str(tmp_path / "csv")))
     rows.write.parquet(str(tmp_path / "out"))
     assert counted.get == {"rows": 3, "bad_rows": 1}
+
+
+def test_texts_are_files_in_a_folder_per_task(spark, tmp_path):
+    """As many folders as tasks, not as documents; one file each, whatever is in the text."""
+    from creditloom.sources import readers, writers
+
+    texts = [(i, f"text {i}\nline") for i in range(40)] + [(40, ""), (41, None), (42, "a"), (42, "a")]
+    writers.write_texts(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2), str(tmp_path / "t"))
+    folders = [p for p in (tmp_path / "t").iterdir() if p.is_dir()]
+    files = [f for p in folders for f in p.glob("*.txt")]
+    assert len(folders) < 20 and len(files) == 43
+    got = sorted(r["text"] for r in readers.read_corpus(spark, str(tmp_path / "t") + "/*").collect())
+    assert got == sorted([f"text {i}\nline\n" for i in range(40)] + ["\n", "\n", "a\na\n"])
