@@ -91,3 +91,21 @@ def test_a_customer_with_most_orders_is_one_applicant(spark, tmp_path):
     rows = {r[X.KEY]: r for r in billing.applicants(spark, str(tmp_path)).collect()}
     assert rows[1]["PAY_0"] == 0 and rows[1]["PAY_AMT6"] == 100.0 and rows[1]["target"] == 0
     assert len(rows) == len(set(rows))
+
+
+def test_arriving_requests_are_dealt_out_by_their_number(spark, tmp_path):
+    """Not in a fixed number of files, which would be tasks that grow with the input."""
+    from checks.queries import _arriving
+    from creditloom import fixed as X
+
+    people = spark.range(500).select(F.col("id").alias(X.KEY), *[F.lit(1).alias(name) for name in X.BASE_COLUMNS])
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        _arriving(spark, people, str(tmp_path / "r"))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list((tmp_path / "r").glob("part-*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 500
