@@ -223,3 +223,26 @@ def test_explain_job(spark, people):
     riskiest = {r[X.KEY] for r in rows if r["kind"] == "riskiest"}
     assert riskiest == {min(k for k, v in scores.items() if v == max(scores.values()))} and len(rows) == 2 * X.TOP_REPORT
     assert told["base"].first()["base_value"] == pytest.approx(tree_explain.base_value(list(bundle.model.trees)), abs=1e-6)
+
+
+def test_rows_reach_the_leaf_their_tests_lead_to():
+    """Against one row at a time; trees of uneven depth, a single leaf, missing values, no rows."""
+    from creditloom.operators.boosting import _routed
+    from creditloom.operators.tree_explain import Tree
+
+    rng = np.random.default_rng(4)
+    left, right, feature = np.array([1, 3, -1, -1, 5, -1, -1]), np.array([2, 4, -1, -1, 6, -1, -1]), np.array([0, 2, -1, -1, 1, -1, -1])
+    deep = Tree(left, right, feature, np.array([3.0, 1.0, 0, 0, 2.0, 0, 0]), np.zeros(7), np.ones(7))
+    leaf = Tree(np.array([-1]), np.array([-1]), np.array([-1]), np.zeros(1), np.zeros(1), np.ones(1))
+    matrix = rng.integers(0, 6, (200, 3)).astype(float)
+    matrix[::9, 1] = np.nan
+
+    def slow(tree, row):
+        at = 0
+        while tree.left[at] >= 0:
+            at = tree.left[at] if row[tree.feature[at]] <= tree.threshold[at] else tree.right[at]
+        return at
+
+    for tree in (deep, leaf):
+        for rows in (matrix, matrix[:0], np.asfortranarray(matrix), np.nan_to_num(matrix).astype(np.uint8)):
+            assert _routed(tree, rows).tolist() == [slow(tree, row) for row in rows]
