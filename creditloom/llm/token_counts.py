@@ -13,16 +13,15 @@ import json
 from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parts import LONGEST, REMEMBERED, PartCache, lean, slices
+from .parts import LONGEST, REMEMBERED, SLICE_CHARS, Cutter, PieceCache, in_slices, lean, slices
 
 LIMIT = 1024
-PLACE_BITS = 40
-SYMBOL_BITS = 24
 
 
 class MergeCounter:
@@ -38,51 +37,59 @@ class MergeCounter:
         vocabulary = described["model"]["vocab"]
         pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in described["model"]["merges"]]
         self.symbol = {piece: at for piece, at in vocabulary.items() if len(piece) == 1}
-        self.rank = {vocabulary[a] << SYMBOL_BITS | vocabulary[b]: at for at, (a, b) in enumerate(pairs)}
+        self.rank = {(vocabulary[a], vocabulary[b]): at for at, (a, b) in enumerate(pairs)}
         self.merged = [vocabulary[a + b] for a, b in pairs]
         self.special = [token["content"] for token in described["added_tokens"]]
         kinds = [described.get("normalizer"), (described.get("pre_tokenizer") or {}).get("type")]
         odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in described["added_tokens"])
-        if kinds != [None, "ByteLevel"] or odd:
+        if kinds != [None, "ByteLevel"] or odd or not described["pre_tokenizer"].get("use_regex", True) or described["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only byte-level tokenizers without a normalizer are supported")
         self.remembered: dict[str, int] = {}
-        self.parts = PartCache(lambda strings: [self.tokens(s) for s in strings])
+        self.cutter = Cutter(self.special)
+        self.pieces = PieceCache(self.cutter, lambda pieces: list(map(self.merge, pieces)), lambda texts: list(map(self.tokens, texts)))
 
     def merge(self, piece: str) -> int:
         """Tokens of one pre-token, given in the printable characters that stand for its bytes."""
-        count = len(piece)
+        count = size = len(piece)
         if count < 2:
             return count
-        size, rank, merged = count, self.rank, self.merged
+        rank, merged, bits = self.rank.get, self.merged, size.bit_length()
         symbol = [self.symbol[c] for c in piece]
-        following, previous = list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = []
-        for at in range(size - 1):
-            r = rank.get(symbol[at] << SYMBOL_BITS | symbol[at + 1])
-            if r is not None:
-                heap.append(r << PLACE_BITS | at)
+        ranks = [*map(rank, zip(symbol, symbol[1:])), None]  # of each symbol with the next
+        heap = [r << bits | at for at, r in enumerate(ranks) if r is not None]
         heapify(heap)
+        following, previous, places = list(range(1, size + 1)), list(range(-1, size - 1)), (1 << bits) - 1
         while heap:
             entry = heappop(heap)
-            r, at = entry >> PLACE_BITS, entry & ((1 << PLACE_BITS) - 1)
-            right = following[at]
-            if symbol[at] < 0 or right >= size or rank.get(symbol[at] << SYMBOL_BITS | symbol[right]) != r:
+            r, at = entry >> bits, entry & places
+            if ranks[at] != r:
                 continue  # a neighbour has been merged since
-            symbol[at], symbol[right] = merged[r], -1
-            after, before = following[right], previous[at]
-            following[at] = after
+            right, before = following[at], previous[at]
+            after = following[at] = following[right]
+            symbol[at], ranks[right], ranks[at] = merged[r], None, None
             count -= 1
             if after < size:
                 previous[after] = at
-                r = rank.get(symbol[at] << SYMBOL_BITS | symbol[after])
+                r = ranks[at] = rank((symbol[at], symbol[after]))
                 if r is not None:
-                    heappush(heap, r << PLACE_BITS | at)
+                    heappush(heap, r << bits | at)
             if before >= 0:
-                r = rank.get(symbol[before] << SYMBOL_BITS | symbol[at])
+                r = ranks[before] = rank((symbol[before], symbol[at]))
                 if r is not None:
-                    heappush(heap, r << PLACE_BITS | before)
+                    heappush(heap, r << bits | before)
         return count
 
+    def count(self, piece: str) -> int:
+        """Tokens of a pre-token, remembered."""
+        n = self.remembered.get(piece)
+        if n is None:
+            n = self.merge(piece)
+            if len(piece) <= LONGEST:
+                if len(self.remembered) >= REMEMBERED:
+                    self.remembered.clear()
+                self.remembered[piece] = n
+        return n
+
     def tokens(self, text: str) -> int:
         """Tokens of a text; a special string inside it is one token, as the library has it."""
         segments, total = [text], 0
@@ -90,21 +97,16 @@ class MergeCounter:
             if special in text:
                 total += sum(segment.count(special) for segment in segments)
                 segments = [piece for segment in segments for piece in segment.split(special)]
-        remembered = self.remembered
-        for segment in segments:
-            for piece, _ in self.split(segment) if segment else ():
-                n = remembered.get(piece)
-                if n is None:
-                    n = self.merge(piece)
-                    if len(piece) <= LONGEST:
-                        if len(remembered) >= REMEMBERED:
-                            remembered.clear()
-                        remembered[piece] = n
-                total += n
-        return total
+        return total + sum(self.count(piece) for segment in segments if segment for piece, _ in self.split(segment))
 
     def counts(self, texts: Sequence[str]) -> list[int]:
-        return [sum(found) for found in self.parts.results(texts)]
+        found = []
+        for some in in_slices(texts, SLICE_CHARS):
+            cut = self.cutter.cut(some)
+            values, loose = self.pieces.results(cut.pieces)
+            before = np.cumsum([0, *np.array([n or 0 for n in values], np.int64)[cut.number]])[cut.first]
+            found += [self.tokens(text) if whole else n for text, whole, n in zip(some, cut.whole(loose), np.diff(before).tolist())]
+        return found
 
 
 def token_count(text: Column, path: str) -> Column:

@@ -22,8 +22,7 @@ import gc
 import json
 import os
 import struct
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
+from collections.abc import Iterator, Sequence
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .parts import give_back, lean
+from .parts import PRINTABLE, Cutter, PieceCache, give_back, in_slices, lean
 
 MAGIC = b"IDPACK01"
 HEAD = "<8sIIQQ"
@@ -42,11 +41,10 @@ SEGMENTS_PER_FILE = 32
 SEPARATOR = "\n"
 TASK_BYTES = 24 << 20  # of text for a task; more texts in a task share more of their parts
 
-SLICE_CHARS = 1 << 20  # texts looked at together
-DOCS = 300  # documents taken from a batch at a time
-JOINED = 64  # parts encoded in one call
-PARTS_HELD = 120_000
-MARKS = ".,"  # a token of their own between an ASCII letter and a space
+SLICE_CHARS = 1 << 21  # texts looked at together
+DOCS = 500  # documents taken from a batch at a time
+JOINED = 64  # pieces encoded in one call
+PIECES_HELD = 250_000
 
 
 # --- Packing ------------------------------------------------------------------------
@@ -138,15 +136,16 @@ class Encoder:
     """Ids by the tokenizers library; what comes again in a task is encoded once.
 
     A byte-level tokenizer starts a new token at every single space between two
-    characters that are not white space. So a text is its first part and then
-    " part" for each of the others, and only parts that are new go to the
-    library, many at a time with a special token between them. Texts, parts and
-    tokenizers that don't fit this go to the library as they are.
+    characters that are not white space. So only pieces that are new go to the
+    library, many at a time with a token between them. Most of the library's time
+    is its search for the ends of words; plain pieces are words already and go
+    straight to its model. Texts, pieces and tokenizers that don't fit this go to
+    the library as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         described = json.loads(_without_model(path))
@@ -155,72 +154,70 @@ class Encoder:
         self.cuts = (
             bool(added) and described.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex")
             and not first.get("add_prefix_space")
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] or " " in t["content"] or not set(MARKS).isdisjoint(t["content"]) for t in added))
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] or " " in t["content"] for t in added))
         newline = self.library.encode("\n", add_special_tokens=False).ids
         self.newline_id, self.cuts = newline[0] if newline else None, self.cuts and len(newline) == 1
-        self.marks = {mark: np.array(self.library.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in MARKS}
-        self.parts: dict[str, bytes] = {}
+        # The same model behind a tokenizer that only cuts at line ends.
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.apart = chr(PRINTABLE[0])  # no plain piece has the byte zero
+        self.apart_id = self.words.token_to_id(self.apart)
+        self.cuts = self.cuts and self.apart_id is not None
+        self.cutter = Cutter(t["content"] for t in added)
+        self.pieces = PieceCache(self.cutter, self._plain, self._other, PIECES_HELD)
 
     def encode(self, texts: Sequence[str], end_id: int) -> Iterator[np.ndarray]:
-        end, start = np.array([end_id], "<u4").tobytes(), 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= SLICE_CHARS):
-                chars += len(texts[stop])
-                stop += 1
-            for data in self._slice(texts[start:stop]) if self.cuts else self._library(texts[start:stop]):
-                yield np.frombuffer(data + end, "<u4")
-            start = stop
-
-    def _library(self, texts: Sequence[str]) -> list[bytes]:
+        end = np.array([end_id], "<u4")
+        for some in in_slices(texts, SLICE_CHARS):
+            for ids in self._slice(some) if self.cuts else self._library(some):
+                yield np.concatenate([ids, end])
+
+    def _library(self, texts: Sequence[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(list(texts), add_special_tokens=False) if texts else []
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _slice(self, texts: Sequence[str]) -> Iterator[bytes]:
-        cut = [text.split(" ") for text in texts]
-        known = self.parts.get
-        found = [list(map(known, parts)) for parts in cut]
-        holes = [[at for at, value in enumerate(values) if value is None] for values in found]
-        fresh, loose = self._encode_parts({parts[at] for parts, missing in zip(cut, holes) for at in missing})
-        uncut = set()
-        for at, (parts, values, missing) in enumerate(zip(cut, found, holes)):
-            for hole in missing:
-                values[hole] = fresh.get(parts[hole])
-            if missing and loose and not loose.isdisjoint(parts[1:]) or len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
-                uncut.add(at)
-        room = max(0, PARTS_HELD - len(self.parts))
-        self.parts.update(fresh if room >= len(fresh) else dict(islice(fresh.items(), room)))
-        # The first part has no space before it.
-        heads = self._library([texts[at] if at in uncut else parts[0] for at, parts in enumerate(cut)])
-        for at, (head, values) in enumerate(zip(heads, found)):
-            if at in uncut:
-                yield head
-            else:
-                values[0] = head
-                yield b"".join(values)
-
-    def _encode_parts(self, parts: Iterable[str]) -> tuple[dict[str, bytes], set[str]]:
-        """Ids of " part", and the parts that white space at their ends binds to their neighbours."""
-        loose = {part for part in parts if not part or part[0].isspace() or part[-1].isspace()}
-        raw = [part for part in parts if self.between in part]
-        new = parts - loose.union(raw)
-        ended = [part for part in new if part[-1] in MARKS and len(part) > 1 and part[-2].isascii() and part[-2].isalpha()]
-        new.difference_update(ended)
-        new.update({part[:-1] for part in ended} - self.parts.keys())
-        lines = {part for part in new if "\n" in part}
-        out = dict(zip(raw, self._library([" " + part for part in raw])))
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _slice(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+        cut = self.cutter.cut(texts)
+        values, loose = self.pieces.results(cut.pieces)
+        whole = cut.whole(loose)
+        values = [value or b"" for value in values]
+        ids, held = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
+        lengths = held[cut.number]
+        ends = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        places = np.repeat((np.cumsum(held) - held)[cut.number] - ends[:-1], lengths)
+        places += np.arange(len(places))
+        every, edges = ids[places], ends[cut.first].tolist()
+        uncut = iter(self._library([text for text, all_ in zip(texts, whole) if all_]))
+        for all_, a, b in zip(whole, edges, edges[1:]):
+            yield next(uncut) if all_ else every[a:b]
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """Ids of plain pieces, given in the characters that stand for their bytes."""
+        out, between = [], f"\n{self.apart}\n"
+        for at in range(0, len(pieces), JOINED):
+            joined = between.join(pieces[at:at + JOINED])
+            out += self._apart(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.apart_id)
+        return out
+
+    @staticmethod
+    def _apart(ids: list[int], cut: int) -> list[bytes]:
+        found = np.array(ids, "<u4")
+        edges = (4 * np.flatnonzero(found == cut)).tolist()
+        data = found.tobytes()
+        return [data[a:b] for a, b in zip([0, *[e + 4 for e in edges]], [*edges, len(data)])]
+
+    def _other(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by the library as a whole; those without a space in front each by themselves."""
+        alone = [piece for piece in pieces if piece[0] != " " or self.between in piece]
+        out = dict(zip(alone, (ids.tobytes() for ids in self._library(alone))))
+        new = [piece for piece in pieces if piece not in out]
         # A newline before " part" is a token of its own, cheaper to cut at than a special one.
-        for some, between, cut in ((list(new - lines), "\n", self.newline_id), (list(lines), self.between, self.between_id)):
+        for some, between, cut in (([p for p in new if "\n" not in p], "\n", self.newline_id), ([p for p in new if "\n" in p], self.between, self.between_id)):
             for at in range(0, len(some), JOINED):
                 batch = some[at:at + JOINED]
-                joined = " " + (between + " ").join(batch)
-                found = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-                edges = (4 * np.flatnonzero(found == cut)).tolist()
-                data = found.tobytes()
-                out.update(zip(batch, [data[a:b] for a, b in zip([0, *[e + 4 for e in edges]], [*edges, len(data)])]))
-        known = self.parts.get
-        out.update([(part, (out.get(part[:-1]) or known(part[:-1])) + self.marks[part[-1]]) for part in ended])
-        return out, loose
+                out.update(zip(batch, self._apart(self.library.encode_batch_fast([between.join(batch)], add_special_tokens=False)[0].ids, cut)))
+        return [out[piece] for piece in pieces]
 
 
 # --- Spark ------------------------------------------------------------------------------

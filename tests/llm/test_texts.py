@@ -46,6 +46,32 @@ def test_counts_of_odd_rows(spark):
     assert token_counts.count_tokens(docs(spark, []), PATH).count() == 0
 
 
+PLAIN = ["One, two; three 3.5 (four)", "Été\nnoël ïle.\nNext___ a1b2", "x " * 50 + "x", "%%% ***", ""]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab Z.,\n\ts'é×÷ÿß09日²_<|>", max_size=40), st.text("ab Z.,\né1", max_size=40))
+def test_pieces_equal_the_library(mixed, plain):
+    texts = [mixed, plain, *PLAIN, mixed + "<|endoftext|>" + plain, " " + plain, "\n" + mixed]
+    assert COUNTER.counts(texts) == [len(ids(t)) for t in texts]
+    assert [got.tolist() for got in ENCODER.encode(texts, 2)] == [[*ids(t), 2] for t in texts]
+
+
+def test_plain_texts_are_not_searched_for_words_by_the_library():
+    """That search is most of the library's time."""
+    counter, encoder = token_counts.MergeCounter(PATH), token_files.Encoder(PATH)
+    counter.split = encoder.library = None
+    assert counter.counts(PLAIN) == [len(ids(t)) for t in PLAIN]
+    encoder._library = lambda texts: [] if not texts else pytest.fail("a plain text went to the library as a whole")
+    assert [got.tolist() for got in encoder.encode(PLAIN, 2)] == [[*ids(t), 2] for t in PLAIN]
+
+
+def test_stale_entries_of_the_heap():
+    """Neighbours merge away from each other in every order."""
+    for text in ("aaaaaaaa", "abababab", "aaaabaaaab", "banananana" * 40, "mississippi" * 30):
+        assert COUNTER.merge(text) == len(ids(text))
+
+
 @pytest.mark.parametrize("width", [1, 7, 13, 16, 17, 32])
 def test_packing_round_trip(width):
     values = np.random.default_rng(width).integers(0, 2**width, 1001, dtype=np.uint64).astype(np.uint32)
