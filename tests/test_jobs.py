@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom import fixed as X
+from creditloom.operators import retrieve
 from creditloom.plans import billing, jobs
 from creditloom.streaming import requests as stream
 
@@ -37,6 +38,19 @@ def test_every_applicant_gets_a_report(people, store):
     assert f"   Decision            : {rows[4]['risk_decision']}" in rows[4]["final_report"]
 
 
+def test_citations_are_looked_for_once_per_question(spark, people):
+    """What the report cites beyond its sources, without a search of every applicant's report."""
+    texts = ["See Regulation  R-99. " * 10 + "\nREGULATION R-8\nas in regulation o-7 and REGULATION R-8 and REGULATION", "REGULATION O-3\nregulation\nr-8 " * 20]
+    store = jobs.chunk_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    decided = jobs.underwrite(people, store)
+    direct = retrieve.unsupported_citations(F.col("final_report"), F.col("compliance_sources"))
+    rows = decided.select("unsupported", direct.alias("direct")).collect()
+    assert any(r["direct"] for r in rows) and all(r["unsupported"] == r["direct"] for r in rows)
+    text = decided.select(X.KEY, "unsupported")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CREDIT UNDERWRITING REPORT" not in text
+    assert "_uncovered" not in decided.columns
+
+
 def test_a_given_question_comes_before_the_template(people, store):
     rows = jobs.underwrite(people, store, given=F.lit("What does R-8 say?")).collect()
     asked = {r[X.KEY]: r for r in rows}
