@@ -10,7 +10,6 @@ Pieces are found and numbered by NumPy and Arrow, so Python sees each once per s
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -20,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import give_back, lean  # noqa: F401  (for the operators here)
+
 ARROW_ROWS, ARROW_BYTES = "1000", "16m"  # of an Arrow batch, which the JVM and the worker both hold
 DOCS = 300  # texts of an Arrow batch turned into Python strings at a time
 SLICE_CHARS = 1 << 21  # texts looked at together; bounds the list of parts in memory
@@ -46,25 +47,6 @@ def settle(spark: SparkSession) -> None:
     spark.range(0, tasks, 1, tasks).select(collected.alias("done")).write.format("noop").mode("overwrite").save()
 
 
-def give_back() -> None:
-    """Return freed memory to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def lean(batches: Iterator[Any]) -> Iterator[Any]:
-    """Arrow data, batch by batch; what a batch took goes back to the system before the next.
-
-    Workers are kept between tasks, and with them the memory Arrow and the C library hold on to.
-    """
-    for batch in batches:
-        yield batch
-        pa.default_memory_pool().release_unused()
-    give_back()
-
-
 # --- Pieces of texts ------------------------------------------------------------------
 
 def _printable() -> np.ndarray:
