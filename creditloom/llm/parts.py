@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -24,7 +25,7 @@ from ..functions.workers import give_back, lean  # noqa: F401  (for the operator
 ARROW_ROWS, ARROW_BYTES = "1000", "16m"  # of an Arrow batch, which the JVM and the worker both hold
 DOCS = 300  # texts of an Arrow batch turned into Python strings at a time
 SLICE_CHARS = 1 << 21  # texts looked at together; bounds the list of parts in memory
-REMEMBERED = 600_000  # parts remembered before starting afresh
+REMEMBERED = 600_000  # pieces remembered
 LONGEST = 256  # bytes of a part worth remembering
 
 
@@ -207,10 +208,9 @@ class PieceCache:
         for at, value in zip(places, values):
             found[at] = value
         fresh = {words[at]: value for at, value in zip(places, values) if len(words[at]) <= LONGEST}
-        if len(self.known) + len(fresh) > self.most:
-            self.known.clear()
-        if len(fresh) <= self.most:
-            self.known.update(fresh)
+        # What came first is what comes most; the rest is worked out again.
+        room = max(0, self.most - len(self.known))
+        self.known.update(fresh if room >= len(fresh) else dict(islice(fresh.items(), room)))
         return found, loose
 
 
