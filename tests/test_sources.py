@@ -1,4 +1,5 @@
 from tests.builders import applicant, table
+import gzip
 from datetime import datetime
 
 import pytest
@@ -158,3 +159,20 @@ def test_texts_are_files_in_a_folder_per_task(spark, tmp_path):
     assert len(folders) < 20 and len(files) == 43
     got = sorted(r["text"] for r in readers.read_corpus(spark, str(tmp_path / "t") + "/*").collect())
     assert got == sorted([f"text {i}\nline\n" for i in range(40)] + ["\n", "\n", "a\na\n"])
+
+
+def test_texts_on_a_disk_are_written_by_the_tasks_and_read_as_bytes(spark, tmp_path):
+    texts = [(i, f"text {i}") for i in range(30)]
+    folder = tmp_path / "t"
+    assert writers._on_disk(spark, f"file://{folder}") == writers._on_disk(spark, str(folder)) == str(folder)
+    writers.write_texts(spark.createDataFrame(texts, "doc_id long, text string"), f"file://{folder}")
+    assert (folder / "_SUCCESS").exists() and not [p for p in folder.rglob(".part-*") if p.suffix != ".crc"]
+    with pytest.raises(Exception, match="already exists"):
+        writers.write_texts(spark.createDataFrame(texts, "doc_id long, text string"), str(folder))
+    one = next(p for p in folder.iterdir() if p.is_dir())
+    (one / ".part-000000-77").write_text("of a task that was lost")
+    (one / "more.txt.gz").write_bytes(gzip.compress("packed é\n".encode()))
+    read = readers.read_corpus(spark, f"{folder}/*")
+    assert sorted(r["text"] for r in read.collect()) == sorted([f"text {i}\n" for i in range(30)] + ["packed é\n"])
+    assert all(r["path"].startswith("file:///") for r in read.collect())
+    assert "binaryFile" in read._jdf.queryExecution().simpleString()
