@@ -1,10 +1,13 @@
 from tests.builders import applicant, table
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from creditloom import fixed as X
 from creditloom.operators import retrieve
 from creditloom.plans import billing, jobs
+from creditloom.session import tidy
 from creditloom.streaming import requests as stream
 
 
@@ -38,6 +41,20 @@ def test_every_applicant_gets_a_report(people, store):
     assert f"   Decision            : {rows[4]['risk_decision']}" in rows[4]["final_report"]
 
 
+def test_the_driver_lets_go_of_what_nothing_refers_to(spark, people, store, monkeypatch):
+    jvm, told = spark._jvm, []
+    left = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    for _ in range(20):  # Python tells the JVM a little later what it has let go of
+        tidy(spark)
+        if left.refersTo(None):
+            break
+        time.sleep(0.5)
+    assert left.refersTo(None)
+    monkeypatch.setattr(jobs, "tidy", told.append)
+    jobs.underwrite(people, store)
+    assert len(told) == 2  # before the search, and when the answers are written
+
+
 def test_citations_are_looked_for_once_per_question(spark, people):
     """What the report cites beyond its sources, without a search of every applicant's report."""
     texts = ["See Regulation  R-99. " * 10 + "\nREGULATION R-8\nas in regulation o-7 and REGULATION R-8 and REGULATION", "REGULATION O-3\nregulation\nr-8 " * 20]
